@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash
 from .tables import table
 
 
@@ -12,5 +12,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def ranks_path() -> str:
+    """Where the installed public vocabulary lies; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path())
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op9_bpe": op9_bpe,
+}
 ORACLE: dict[str, str] = {}
