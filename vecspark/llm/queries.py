@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, rules, simhash, warc
 from .tables import table
 
 
@@ -12,6 +12,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive(table(spark, sf_dir, "pages"))
+    return back.select(back["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def ranks_path() -> str:
     """Where the installed public vocabulary lies; it is never copied."""
     import public_tokenizers
@@ -25,6 +34,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_rules": op3_rules,
+    "op7_warc": op7_warc,
     "op9_bpe": op9_bpe,
 }
 ORACLE: dict[str, str] = {}
