@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, rules, simhash, warc
+from . import bpe, rules, simhash, vectors, warc
 from .tables import table
 
 
@@ -32,10 +32,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path())
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_rules": op3_rules,
     "op7_warc": op7_warc,
     "op9_bpe": op9_bpe,
+    "op10_vectors": op10_vectors,
 }
 ORACLE: dict[str, str] = {}
