@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Spark removes an execution's shuffle files at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: list[str] = []
 
 
@@ -36,8 +39,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")  # the shuffle files behind a written table are of no more use
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
