@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, rules, simhash, suffixes, vectors, warc
+from . import bpe, privacy, rules, simhash, suffixes, vectors, warc
 from .tables import table
 
 
@@ -20,6 +20,10 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(privacy.find(table(spark, sf_dir, "documents")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive(table(spark, sf_dir, "pages"))
     return back.select(back["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_rules": op3_rules,
     "op4_suffixes": op4_suffixes,
+    "op6_privacy": op6_privacy,
     "op7_warc": op7_warc,
     "op9_bpe": op9_bpe,
     "op10_vectors": op10_vectors,
