@@ -10,6 +10,8 @@ in two generations of bounded dictionaries, which only save time. No data is shu
 from __future__ import annotations
 
 import base64
+import functools
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -80,10 +82,26 @@ class Recent(dict):
             self.clear()
 
 
+def acyclic(method):
+    """Run without the collector of cycles: there are none here, and it would walk all kept entries again and again."""
+
+    @functools.wraps(method)
+    def run(*args):
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return method(*args)
+        finally:
+            if on:
+                gc.enable()
+
+    return run
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with one single-threaded DuckDB connection."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, limit: int = 150_000, memory: str = "256MB"):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, limit: int = 250_000, memory: str = "256MB"):
         import duckdb
         import regex
 
@@ -94,7 +112,7 @@ class Codec:
         self._load("merges", pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("a", "b", "merged"), zip(*rows) if rows else ((), (), ()))}))
         # a byte stands as the character of the same number, so that text functions keep arbitrary bytes
         self._load("vocab", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "t": pa.array([t.decode("latin-1") for t in ranks])}))
-        self.pieces, self.chunks, self.texts = Recent(limit), Recent(limit), Recent(limit)
+        self.pieces, self.parts, self.texts = Recent(limit), Recent(limit), Recent(2 * limit)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("incoming", rows)
@@ -122,7 +140,20 @@ class Codec:
 
     def _learn(self, pieces: Iterable[str]) -> None:
         new = self.pieces.missing(pieces)
-        self.pieces.update(zip(new, self.contract([p.encode() for p in new])))
+        for p, (ids, n) in zip(new, self.contract([p.encode() for p in new])):
+            self.pieces[p] = (ids, n, (ids,))
+
+    def _pieces(self, parts: list[str]) -> Iterator[list[str]]:
+        """The pieces of each part, by one search over all of them: a line end between parts is a piece by itself."""
+        own: list[str] = []
+        for p in self.find("\n".join(parts)) if parts else []:
+            if p == "\n":
+                yield own
+                own = []
+            else:
+                own.append(p)
+        if parts:
+            yield own
 
     @staticmethod
     def _parts(text: str) -> list[str] | None:
@@ -142,8 +173,9 @@ class Codec:
             parts += line.replace(" ", "\n ").split("\n")
         return parts
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, int]]]:
-        """For each text its segments in order: decimal ids joined by blanks, and how many."""
+    @acyclic
+    def encode(self, texts: list[str]) -> list[list[tuple[str, int, tuple[str, ...]]]]:
+        """For each text its parts in order: decimal ids joined by blanks, how many, and the same piece by piece."""
         cut: list[tuple[bool, list[str]]] = []
         parts, pieces = set(), set()
         for t in texts:
@@ -155,32 +187,45 @@ class Codec:
             else:
                 parts.update(got)
                 cut.append((True, got))
-        new = self.chunks.missing(parts)
-        split = [self.find(p) for p in new]
+        if "\n" in parts:
+            parts.remove("\n")
+            pieces.add("\n")
+        new = self.parts.missing(parts)
+        split = list(self._pieces(new))
         for x in split:
             pieces.update(x)
         self._learn(pieces)
         for p, x in zip(new, split):
             got = [self.pieces[y] for y in x]
-            self.chunks[p] = got[0] if len(got) == 1 else (" ".join([s for s, _ in got]), sum([n for _, n in got]))
-        out = [[(self.chunks if fast else self.pieces)[p] for p in x] for fast, x in cut]
-        self.chunks.turn()
+            self.parts[p] = got[0] if len(got) == 1 else (" ".join([g[0] for g in got]), sum([g[1] for g in got]), tuple([g[0] for g in got]))
+        if "\n" in pieces:
+            self.parts["\n"] = self.pieces["\n"]
+        out = []
+        for fast, x in cut:
+            known = self.parts if fast else self.pieces
+            out.append([known[p] for p in x])
+        self.parts.turn()
         self.pieces.turn()
         return out
 
-    def decode(self, texts: list[list[str]]) -> list[bytes]:
-        """Bytes of each text, given as segments of decimal ids joined by blanks."""
-        new = self.texts.missing({s for x in texts for s in x})
-        if new:
-            ids = [s.split() for s in new]
-            flat = pa.array([i for x in ids for i in x], pa.string()).cast(pa.int32())
-            rows = pa.table({"s": pa.array(range(len(new)), pa.int32()), "ids": pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype="i4"), flat)})
-            for s, t, known in self._ask("seqs", rows, DECODE):
-                if not known:
-                    raise ValueError(f"ids outside the vocabulary: {new[s][:80]}")
-                self.texts[new[s]] = t.encode("latin-1")
-        out = [b"".join([self.texts[s] for s in x]) for x in texts]
-        self.texts.turn()
+    @acyclic
+    def decode(self, texts: list[list[tuple[str, int, tuple[str, ...]]]]) -> list[bytes]:
+        """Bytes of each text, given as parts like those of :meth:`encode`."""
+        known = self.texts
+        new = {p[0]: p[2] for x in texts for p in x if p[0] not in known}
+        new = {k: new[k] for k in known.missing(new)}
+        pieces = known.missing({s for x in new.values() for s in x})
+        if pieces:
+            ids = pa.compute.split_pattern(pa.array(pieces), " ")
+            rows = pa.table({"s": pa.array(np.arange(len(pieces), dtype="i4")), "ids": pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.int32()))})
+            for s, t, found in self._ask("seqs", rows, DECODE):
+                if not found:
+                    raise ValueError(f"ids outside the vocabulary: {pieces[s][:80]}")
+                known[pieces[s]] = t.encode("latin-1")
+        for k, x in new.items():
+            known[k] = b"".join([known[s] for s in x])
+        out = [b"".join([known[p[0]] for p in x]) for x in texts]
+        known.turn()
         return out
 
 
@@ -221,7 +266,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for b in (s for x in batches for s in _slices(x)):
-            ids = [[int(i) for s, _ in x for i in s.split()] for x in own.encode(b.column(1).to_pylist())]
+            ids = [[int(i) for g in x for i in g[0].split()] for x in own.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -236,7 +281,10 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for b in batches:
-            rows = [[" ".join(map(str, x[i : i + 8])) for i in range(0, len(x), 8)] for x in (v or [] for v in b.column(1).to_pylist())]
+            rows = []
+            for x in b.column(1).to_pylist():
+                ids = [" ".join(map(str, (x or [])[i : i + 8])) for i in range(0, len(x or []), 8)]
+                rows.append([(s, 0, (s,)) for s in ids])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.decode(rows), pa.binary())], ["doc_id", "text"])
 
     small_batches(encoded.sparkSession)
@@ -253,8 +301,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col:
         own, sha = codec(ranks_path, pattern), lambda x: hashlib.sha256(x).hexdigest()
         for b in (s for x in batches for s in _slices(x)):
             got = own.encode(b.column(1).to_pylist())
-            ids = [[s for s, _ in x] for x in got]
-            cols = [[sum([n for _, n in x]) for x in got], [sha(" ".join(x).encode()) for x in ids], [sha(t) for t in own.decode(ids)]]
+            cols = [[sum([g[1] for g in x]) for x in got], [sha(" ".join([g[0] for g in x]).encode()) for x in got], [sha(t) for t in own.decode(got)]]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
