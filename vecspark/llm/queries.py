@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, privacy, rules, simhash, suffixes, vectors, warc
+from . import bpe, chat, mixing, privacy, rules, simhash, suffixes, vectors, warc
 from .tables import table
 
 
+#: Wanted shares of tokens. The table has no topic labels; the form of a text stands for one.
+TARGETS = {"source": {"src0": 0.15, "*": 0.85}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, "topic": {"tabular": 0.05, "note": 0.1, "article": 0.45, "long": 0.4}}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), TARGETS, {"topic": mixing.form()})
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(back["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.from_turns(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, {"reply": chat.REPLY})
+
+
 def ranks_path() -> str:
     """Where the installed public vocabulary lies; it is never copied."""
     import public_tokenizers
@@ -45,11 +58,13 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_rules": op3_rules,
     "op4_suffixes": op4_suffixes,
     "op6_privacy": op6_privacy,
     "op7_warc": op7_warc,
+    "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_vectors": op10_vectors,
 }
