@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, privacy, rules, simhash, suffixes, vectors, warc
+from . import bpe, chat, lm, mixing, privacy, rules, simhash, suffixes, vectors, warc
 from .tables import table
 
 
@@ -28,6 +28,10 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), ranks_path())
+
+
 def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(privacy.find(table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_rules": op3_rules,
     "op4_suffixes": op4_suffixes,
+    "op5_lm": op5_lm,
     "op6_privacy": op6_privacy,
     "op7_warc": op7_warc,
     "op8_chat": op8_chat,
