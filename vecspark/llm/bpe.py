@@ -291,10 +291,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col:
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row: encode, then decode the ids, in one pass.
 
-    ids_sha256 is over the decimal ids joined by one blank, decoded_sha256 over the decoded bytes.
+    ids_sha256 is over the decimal ids joined by one blank, decoded_sha256 over the decoded bytes. ``with_ids`` adds
+    the ids (array<int>). A null or empty text has no ids; repeated rows are encoded each; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,6 +303,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col:
         for b in (s for x in batches for s in _slices(x)):
             got = own.encode(b.column(1).to_pylist())
             cols = [[sum([g[1] for g in x]) for x in got], [sha(" ".join([g[0] for g in x]).encode()) for x in got], [sha(t) for t in own.decode(got)]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
+            if with_ids:
+                out.append(pa.array([[int(i) for g in x for i in g[0].split()] for x in got], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -44,9 +44,13 @@ def _repeated(ws: Column) -> Column:
     return F.when(F.size(ws) < 3, 0).otherwise(let(windows, covered))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the base counts, ``base_failed``, and the rates that rules are made of (all double)."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: the base counts, ``base_failed``, and the rates that rules are made of (all double).
+
+    A column c in ``keep`` follows as k_c.
+    """
+    kept = [f"k_{c}" for c in keep]
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
     d = d.withColumn("ws", words(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = d.select(
@@ -60,11 +64,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count("text", F.lit(r"\p{Lu}")).alias("n_upper"),
         F.regexp_count("text", F.lit("!")).alias("n_exclaims"),
         F.regexp_count("text", F.lit("[0-9]")).alias("n_digits"),
+        *kept,
     )
     per = lambda a, b, by=100.0: F.when(F.col(b) > 0, F.col(a) * by / F.col(b)).otherwise(0.0)
     rates = {"symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "upper": per("n_upper", "word_chars"), "exclaims": per("n_exclaims", "n_words"), "digits": per("n_digits", "word_chars"), "words_per_line": per("n_words", "n_lines", 1.0), "word_chars": per("word_chars", "n_words", 1.0), "n_words": F.col("n_words").cast("double")}
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.struct(*[rates[f].alias(f) for f in FEATURES]).alias("f"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.struct(*[rates[f].alias(f) for f in FEATURES]).alias("f"), *kept)
 
 
 @dataclass(frozen=True)
@@ -174,13 +179,21 @@ def decide(rules: list[Rule], f: str = "f") -> Column:
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **how) -> DataFrame:
     """Base counts, ``base_failed``, ``rule`` (the one that rejects, or null) and ``kept``, a row per document.
 
+    A column c in ``keep`` follows as k_c; it is written beside the features, so that the verdict needs no join.
+
     A null text has no words and fails the base rules, as a short one does. Repeated rows are judged each; an empty
     table gives no rows; a doc_id with several labels teaches each of them.
     """
-    feats = cut(features(docs, id_col, text_col), "features")
+    feats = cut(features(docs, id_col, text_col, keep), "features")
     rules = learn(feats, labels, **how)
     rule = F.when(~F.col("base_failed"), decide(rules))
-    return feats.withColumn("rule", rule).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+    return feats.withColumn("rule", rule).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", *[f"k_{c}" for c in keep])
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that :func:`judge` keeps, columns and rows as they were."""
+    verdict = judge(docs, labels, id_col, text_col, tuple(docs.columns), **how)
+    return verdict.where("kept").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])

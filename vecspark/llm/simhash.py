@@ -46,16 +46,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id long, fp long)`` of every row; fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id long, fp long)`` of every row; fp is the fingerprint's bits as a signed long.
+
+    A column c in ``keep`` follows as k_c.
+    """
     small_batches(docs.sparkSession)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("fp"), *[F.col(c).alias(f"k_{c}") for c in keep], F.col(text_col).cast("string").alias("_text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(b.num_columns - 1)], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:-1]], b.schema.names[:-1])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    return d.mapInArrow(scan, d.drop("_text").schema)
 
 
 def links(fps: DataFrame, distance: int = 2, small: int = 64) -> DataFrame:
@@ -87,6 +91,12 @@ def links(fps: DataFrame, distance: int = 2, small: int = 64) -> DataFrame:
     return pairwise.select("u", "v").unionByName(starred).distinct()
 
 
+def _classes(nodes: DataFrame, distance: int, small: int) -> DataFrame:
+    """``fp, component`` for every ``nodes(fp)``, which are distinct."""
+    joined = components(links(nodes, distance, small))
+    return nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, small: int = 64) -> DataFrame:
     """One row per document: ``doc_id, fingerprint (16 hex digits), component_id, n_copies, kept``.
 
@@ -96,8 +106,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    joined = components(links(nodes.select("fp"), distance, small))
-    classes = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = nodes.join(_classes(nodes.select("fp"), distance, small), "fp")
     heads = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_copies"))
     member = classes.select("fp", "component").join(heads, "component").select("fp", "component_id", "n_copies")
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, small: int = 64) -> DataFrame:
+    """One row of each class of near duplicates, columns as they were: the one of least id (a null id comes last).
+
+    Of rows that repeat that id within the class one stays. An empty table gives no rows.
+    """
+    numbered = fingerprints(docs.withColumn("_rid", F.monotonically_increasing_id()), id_col, text_col, shingle, ("_rid", *docs.columns))
+    rows = cut(numbered, "fingerprints")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("k__rid").alias("rid"))).alias("head")
+    nodes = rows.groupBy("fp").agg(head)
+    classes = nodes.join(_classes(nodes.select("fp"), distance, small), "fp")
+    heads = classes.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.rid").alias("k__rid"))
+    return rows.join(heads, "k__rid", "left_semi").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
