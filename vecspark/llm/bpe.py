@@ -232,11 +232,11 @@ class Codec:
 _codecs: dict = {}
 
 
-def codec(ranks_path: str, pattern: str) -> Codec:
+def codec(ranks_path: str, pattern: str, limit: int = 250_000) -> Codec:
     """This worker's codec; a path is on every executor, like the installed tokenizer files."""
-    if (ranks_path, pattern) not in _codecs:
-        _codecs[ranks_path, pattern] = Codec(load_ranks(ranks_path), pattern)
-    return _codecs[ranks_path, pattern]
+    if (ranks_path, pattern, limit) not in _codecs:
+        _codecs[ranks_path, pattern, limit] = Codec(load_ranks(ranks_path), pattern, limit)
+    return _codecs[ranks_path, pattern, limit]
 
 
 def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -291,21 +291,23 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col:
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, limit: int = 250_000) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row: encode, then decode the ids, in one pass.
 
     ids_sha256 is over the decimal ids joined by one blank, decoded_sha256 over the decoded bytes. ``with_ids`` adds
-    the ids (array<int>). A null or empty text has no ids; repeated rows are encoded each; an empty table gives no rows.
+    the ids (array<int>). ``limit`` bounds the memory of recent answers, about 3 KB for each eight entries. A null or empty text has no ids; repeated rows are encoded each; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sha = codec(ranks_path, pattern), lambda x: hashlib.sha256(x).hexdigest()
+        own, sha = codec(ranks_path, pattern, limit), lambda x: hashlib.sha256(x).hexdigest()
         for b in (s for x in batches for s in _slices(x)):
             got = own.encode(b.column(1).to_pylist())
             cols = [[sum([g[1] for g in x]) for x in got], [sha(" ".join([g[0] for g in x]).encode()) for x in got], [sha(t) for t in own.decode(got)]]
             out = [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
             if with_ids:
-                out.append(pa.array([[int(i) for g in x for i in g[0].split()] for x in got], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *cols[0]], dtype="i4")
+                flat = np.array(" ".join([g[0] for x in got for g in x]).split(" ") if ends[-1] else [], "i4")
+                out.append(pa.ListArray.from_arrays(ends, pa.array(flat)))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -124,7 +124,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                     continue
                 here = pd.notna(r.result_position)
                 early = here and pd.notna(r.position) and r.result_position < r.position
-                status.append("duplicate" if r.dup else "cycle" if pd.isna(r.depth) and r.call_id is not None else "pending" if not here else "early" if early else "ok")
+                status.append("duplicate" if r.dup else "cycle" if pd.isna(r.depth) and r.call_id is not None and pd.notna(r.conv_id) else "pending" if not here else "early" if early else "ok")
                 bad = [f"unknown reference {x}" for x in (r.lost if r.lost is not None else [])]
                 try:
                     args = json.loads(r.arguments or "", parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
