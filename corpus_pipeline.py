@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of what they decode to."""
-    return bpe.round_trip(docs, ranks_path(), with_ids=True)
+    return bpe.round_trip(docs, ranks_path(), with_ids=True, limit=60_000)  # executors hold the heap of the stages before
 
 
 STAGES = [("quality rules", quality), ("SimHash near-dedup", near_copies), ("PII", personal_data), ("mixing sources", mixture), ("byte-level BPE", tokens)]
