@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..errors import EmptyParameter, InvalidParameter
 from ..functions.distance import distance
 
+#: Training vectors of at most so many bytes, as counted, are clustered in the driver; more of them in Spark jobs.
+LOCAL_BYTES = 32 << 20
+
 
 def literal(centroids: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
@@ -51,8 +54,17 @@ def seeds(df: DataFrame, k: int, order: str = "id", column: str = "vector") -> l
 def train(df: DataFrame, k: int, max_iter: int = 40, order: str = "id", column: str = "vector", require: bool = True) -> list[list[float]]:
     """k centroids under squared L2; stops when no assignment changes, and updates once more after the last one.
 
-    Only k centroids and a count come to the driver in a round. An empty cluster keeps its centroid.
+    The rounds are jobs of which only k centroids and a count come to the driver, or run there altogether if all
+    vectors take at most LOCAL_BYTES. An empty cluster keeps its centroid.
     """
+    size = df.agg(F.sum(F.size(column).cast("long") * 8 + 16)).first()[0] or 0
+    if size <= LOCAL_BYTES:
+        rows = [r[0] for r in df.orderBy(order).select(column).collect()]
+        if not rows:
+            raise EmptyParameter("no training vectors")
+        if require and len(rows) < k:
+            raise InvalidParameter(f"{len(rows)} training vectors for {k} centroids")
+        return train_local(np.array(rows, "f8"), k, max_iter).tolist()
     centroids = seeds(df, k, order, column)
     if not centroids:
         raise EmptyParameter("no training vectors")
