@@ -73,4 +73,20 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_vectors": op10_vectors,
 }
-ORACLE: dict[str, str] = {}
+#: Base32 by hand: each ten hexadecimal digits of the SHA-1 are eight digits of five bits.
+BASE32_SQL = "array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hexed, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31) + 1)::INT, 1)), '')"
+
+ORACLE: dict[str, str] = {
+    "op7_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hexed FROM pages),
+    f AS (SELECT hexed, min(page_id) AS original FROM p GROUP BY hexed)
+    SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {BASE32_SQL} AS payload_digest,
+    CASE WHEN page_id <> original THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+    FROM p JOIN f USING (hexed)""",
+    "op10_vectors": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    ok AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS norm FROM v WHERE len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+    l AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+        WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.95),
+    reach(u, v) AS (SELECT u, v FROM l UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u)
+    SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(r.v) FROM reach r WHERE r.u = v.vec_id), v.vec_id)) AS component_id,
+    v.vec_id = least(v.vec_id, coalesce((SELECT min(r.v) FROM reach r WHERE r.u = v.vec_id), v.vec_id)) AS kept FROM v""",
+}
