@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, mixing, privacy, rules, simhash
+from vecspark.llm import bpe, mixing, privacy, rules, similar
 from vecspark.llm.queries import TARGETS, ranks_path
 from vecspark.llm.tables import cut, drop, table
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8, no pair lost to fingerprints."""
+    return similar.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
