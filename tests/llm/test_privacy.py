@@ -90,6 +90,18 @@ def test_disclosure_by_hand(spark):
     assert [(t["start"], t["end"], t["value"]) for t in found["terms"]] == [(0, 10, "remove")]
 
 
+def test_telling_words_go_throughout_the_text(spark):
+    """A second mention far from the address goes as well, and so does a word that never stands near it."""
+    far = "common text " * 40
+    rows = [(i, f"Zorro q@b.cd {far} zorro {far} Elsewhere") for i in range(4)] + [(i, "common text only") for i in range(4, 64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = [r["text"] for r in privacy.sanitise(df).where("doc_id < 4").collect()]
+    assert len(clean) == 4 and all("orro" not in t and "lsewhere" not in t and t.count("common text") == 80 for t in clean)
+    found = privacy.find(df).where("doc_id = 2").first()
+    text = rows[2][1]
+    assert [text[t["start"] : t["end"]] for t in found["terms"]] == ["Zorro", "zorro", "Elsewhere"]
+
+
 def test_edges(spark, edge_docs):
     assert sorted((str(d), r) for d, r in digest(privacy.digest(privacy.find(edge_docs)))) == sorted((str(r["doc_id"]), row(r["text"])) for r in edge_docs.collect())
     assert privacy.find(edge_docs.limit(0)).count() == 0

@@ -1,9 +1,10 @@
-"""Personal data: pattern spans, and an information-theoretic pass over the words that stand near them.
+"""Personal data: pattern spans, and an information-theoretic pass over the words of the texts that hold them.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Their values are the protected
-entities. Over the corpus, a word t that stands near an entity e in n_et documents, of n_t that hold t and n_e that
-hold e, discloses PMI(t; e) = log2(n_et N / (n_t n_e)) bits of IC(e) = log2(N / n_e). Words that disclose at least
-``generalise_at`` of it are replaced by a general term, those that disclose ``remove_at`` (all of it) are removed.
+entities. Over the corpus, a word t that shares n_et documents with an entity e, of n_t that hold t (outside base spans)
+and n_e that hold e, discloses PMI(t; e) = log2(n_et N / (n_t n_e)) bits of IC(e) = log2(N / n_e). Words that disclose at least
+``generalise_at`` of it are replaced by a general term, those that disclose ``remove_at`` (all of it) are removed,
+wherever they stand in a text that holds the entity.
 Everything is DataFrame functions: no Python runs on the executors. Counts are aggregated before they are shuffled,
 so that an entity or a word that a third of all documents share is one row a task.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import let
@@ -28,6 +29,7 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 WORD = r"[\p{L}\p{N}]+"
+RUNS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"  # all of a text
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -91,47 +93,58 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _near(text: Column, span: Column, reach: int) -> Column:
-    """Whole words at most ``reach`` code points before or behind a span, lower-cased, with their places in the text."""
-    low = F.greatest(F.lit(0), span["start"] - reach)
+def mask(text: Column, spans: Column) -> Column:
+    """The text with the characters of its spans blanked, so that all places stay."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(acc["at"], s["start"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, blank)).alias("out"))
+
+    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
+    return let(done, lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["at"] + 1, F.char_length(text))))
 
-    def words(part: Column, offset: Column, open_left: Column, open_right: Column) -> Column:
-        found = walk(part, WORD, "term")
-        size = F.char_length(part)
-        whole = F.filter(found, lambda w: ~(open_left & (w["start"] == 0)) & ~(open_right & (w["end"] == size)) & (w["end"] - w["start"] > 2))
-        return F.transform(whole, lambda w: F.struct((w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), F.lower(w["value"]).alias("term")))
 
-    left = let(F.substring(text, low + 1, span["start"] - low), lambda p: words(p, low, low > 0, F.lit(False)))
-    right = let(F.substring(text, span["end"] + 1, F.lit(reach)), lambda p: words(p, span["end"], F.lit(False), F.char_length(p) == reach))
-    return F.concat(left, right)
+def _places(held: DataFrame) -> DataFrame:
+    """``rid, start, end, term``: every word of ``held(rid, masked)``, lower-cased, with its place in the text."""
+    runs = held.select("rid", F.posexplode(F.regexp_extract_all("masked", F.lit(RUNS), 0)).alias("pos", "run"))
+    before = Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = runs.withColumn("end", F.sum(F.char_length("run")).over(before).cast("int"))
+    return placed.where(F.col("run").rlike(WORD) & (F.char_length("run") > 2)).select("rid", (F.col("end") - F.char_length("run")).alias("start"), "end", F.lower("run").alias("term"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, generalise_at: float = 0.8, remove_at: float = 1.0, min_support: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = 0.8, remove_at: float = 1.0, min_support: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """``rid, doc_id, base, terms``: base and term spans of every row; a column c in ``keep`` follows as k_c.
 
     rid numbers the rows. A null text has no spans; repeated rows have spans each and count as documents each; an
     entity needs ``min_support`` documents with a word before the word can disclose it; an empty table gives no rows.
     """
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    near = F.transform(F.col("base"), lambda s: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), _near(F.col("_text"), s, reach).alias("words")))
-    spans = cut(d.withColumn("base", base_spans(F.col("_text"))).select("rid", F.col("_id").alias("doc_id"), "base", near.alias("near"), *[f"k_{c}" for c in keep]), "spans")
+    d = d.withColumn("base", base_spans(F.col("_text"))).withColumn("masked", F.when(F.size("base") > 0, mask(F.col("_text"), F.col("base"))))
+    long = F.filter(F.regexp_extract_all(F.coalesce("masked", "_text"), F.lit(WORD), 0), lambda w: F.char_length(w) > 2)
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    spans = cut(d.select("rid", F.col("_id").alias("doc_id"), "base", entities.alias("entities"), "masked", F.array_distinct(F.transform(long, lambda w: F.lower(w))).alias("said"), *[f"k_{c}" for c in keep]), "spans")
     total = F.log2(F.lit(float(max(1, spans.count()))))
 
-    held = spans.where(F.size("base") > 0).select("rid", F.explode("near").alias("n")).select("rid", "n.entity", F.explode_outer("n.words").alias("w"))
-    n_e = held.groupBy("entity", "rid").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("n_e"))
-    occurs = held.where("w is not null").select("rid", "entity", "w.*")
-    n_et = occurs.groupBy("entity", "term", "rid").agg(F.lit(1)).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support)
-    n_et = cut(n_et.join(n_e, "entity"), "pairs")
-    said = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", -1)), lambda w: F.length(w) > 2)
-    n_t = docs.select(F.explode(said).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    held = spans.where(F.size("base") > 0)
+    of = held.select("rid", F.explode("entities").alias("entity"))
+    # entities of the very same documents disclose the same: they count as one
+    same = of.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("rid")).alias("e1"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("e2"))
+    entity = ["n_e", "e1", "e2"]
+    of = of.join(same, "entity").select("rid", *entity).distinct()
+    occurs = held.select("rid", "said").join(of, "rid").select("rid", *entity, F.explode("said").alias("term"))
+    n_et = cut(occurs.groupBy(*entity, "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support), "pairs")
+    n_t = spans.select(F.explode("said").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     share = (F.log2("n_et") + total - F.log2("n_t") - F.log2("n_e")) / (total - F.log2("n_e"))
-    telling = n_et.join(n_t, "term").withColumn("share", share).where((F.col("share") >= generalise_at - 1e-9) & (total > F.log2("n_e")))
-    hits = occurs.join(telling.select("entity", "term", "share"), ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("share").alias("share"))
+    telling = n_et.where(total > F.log2("n_e")).join(n_t, "term").withColumn("share", share).where(F.col("share") >= generalise_at - 1e-9)
+    told = occurs.join(telling.select(*entity, "term", "share"), [*entity, "term"]).groupBy("rid", "term").agg(F.max("share").alias("share"))
+    hits = _places(held.select("rid", "masked")).join(told, ["rid", "term"])
     action = F.when(F.col("share") >= remove_at - 1e-9, "remove").otherwise("generalise")
     terms = hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("value")))).alias("terms"))
-    # a row without base spans has no words near one: it needs no join
+    # a row without base spans holds no entity: it needs no join
     typed = F.coalesce(F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"))), F.array().cast(SPAN))
-    with_ = spans.where(F.size("base") > 0).join(terms, "rid", "left").withColumn("terms", typed)
+    with_ = held.join(terms, "rid", "left").withColumn("terms", typed)
     without = spans.where(F.size("base") == 0).withColumn("terms", F.array().cast(SPAN))
     cols = ["rid", "doc_id", "base", "terms", *[f"k_{c}" for c in keep]]
     return with_.select(cols).unionByName(without.select(cols))
