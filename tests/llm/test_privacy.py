@@ -102,6 +102,13 @@ def test_telling_words_go_throughout_the_text(spark):
     assert [text[t["start"] : t["end"]] for t in found["terms"]] == ["Zorro", "zorro", "Elsewhere"]
 
 
+def test_entities_of_a_single_document(spark):
+    """A word that only the one document with the address holds is removed, a rare one generalised, a common one stays."""
+    rows = [(0, "quixote windmill common q@b.cd")] + [(i, f"{'windmill' if i < 2 else ''} common text") for i in range(1, 64)]
+    found = privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").first()
+    assert [(t["start"], t["end"], t["value"]) for t in found["terms"]] == [(0, 7, "remove"), (8, 16, "generalise")]
+
+
 def test_edges(spark, edge_docs):
     assert sorted((str(d), r) for d, r in digest(privacy.digest(privacy.find(edge_docs)))) == sorted((str(r["doc_id"]), row(r["text"])) for r in edge_docs.collect())
     assert privacy.find(edge_docs.limit(0)).count() == 0

@@ -114,11 +114,12 @@ def _places(held: DataFrame) -> DataFrame:
     return placed.where(F.col("run").rlike(WORD) & (F.char_length("run") > 2)).select("rid", (F.col("end") - F.char_length("run")).alias("start"), "end", F.lower("run").alias("term"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = 0.8, remove_at: float = 1.0, min_support: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = 0.8, remove_at: float = 1.0, min_support: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """``rid, doc_id, base, terms``: base and term spans of every row; a column c in ``keep`` follows as k_c.
 
-    rid numbers the rows. A null text has no spans; repeated rows have spans each and count as documents each; an
-    entity needs ``min_support`` documents with a word before the word can disclose it; an empty table gives no rows.
+    rid numbers the rows. A null text has no spans; repeated rows have spans each and count as documents each; a
+    word can disclose an entity from ``min_support`` common documents on (one: also entities of a single document,
+    whose words disclose 1 - log n_t / log N); an empty table gives no rows.
     """
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"k_{c}") for c in keep])
     d = d.withColumn("base", base_spans(F.col("_text"))).withColumn("masked", F.when(F.size("base") > 0, mask(F.col("_text"), F.col("base"))))
