@@ -5,9 +5,9 @@ two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingl
 join on those loses no pair, and every pair it finds is verified on the whole sets. The order puts frequent shingles
 last; they are told by a sample, which decides how fast the join is and never what it finds.
 
-Buckets of up to ``small`` sets are joined with themselves. In a larger one each set meets the least one first; then
-the sets outside the bucket's main component meet all of the other components, so a huge group of near copies is
-linear, and pairs that could not change a component are all that is left out.
+In each bucket the sets first meet the least one. Then buckets of up to ``small`` sets are joined with themselves, and
+in larger ones the sets outside the bucket's main component meet all others; pairs of one component, which cannot
+change it, are all that is left out, so a huge group of near copies stays linear.
 """
 
 from __future__ import annotations
@@ -102,21 +102,20 @@ def links(rows: DataFrame, texts: DataFrame, size: int, similarity: float, small
     met = keyed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("token", "least")
     shared = cut(keyed.join(met, "token").distinct(), "shared")
     shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("held")), "token")
-    few, many = shared.where(F.col("held") <= small).select("token", "node", "n"), cut(shared.where(F.col("held") > small), "large")
     other = lambda d, *more: d.select("token", F.col("node").alias("v"), F.col("n").alias("m"), *more)
-    pairs = few.withColumnRenamed("node", "u").join(other(few), "token").where("u < v").where(_fits(similarity)).select("u", "v")
-    heads = many.where("node = least").select("token", F.col("node").alias("u"), "n")
-    starred = heads.join(other(many), "token").where("u <> v").where(_fits(similarity)).select("u", "v")
-    found = _verified(cut(pairs.unionByName(starred).distinct(), "candidates"), texts, size, similarity)
-    if many.isEmpty():
-        return found
+    heads = shared.where("node = least").select("token", F.col("node").alias("u"), "n")
+    starred = heads.join(other(shared), "token").where("u <> v").where(_fits(similarity)).select("u", "v")
+    found = _verified(cut(starred.distinct(), "candidates"), texts, size, similarity)
     joined = components(found).withColumnRenamed("component", "c")
-    many = cut(many.join(joined, "node", "left").select("token", "node", "n", F.coalesce("c", "node").alias("c")), "large")
+    shared = cut(shared.join(joined, "node", "left").select("token", "node", "n", "held", F.coalesce("c", "node").alias("c")), "labelled")
+    few, many = shared.where(F.col("held") <= small), shared.where(F.col("held") > small)
+    own = few.select("token", F.col("node").alias("u"), "n", F.col("c").alias("d"))
+    pairs = own.join(other(few, "c"), "token").where("u < v and c <> d").where(_fits(similarity)).select("u", "v")
     share = many.groupBy("token", "c").agg(F.count("*").alias("k"))
     main = share.groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
     apart = many.join(main, "token").where("c <> main").select("token", F.col("node").alias("u"), "n", F.col("c").alias("d"), "main")
     rest = apart.join(other(many, "c"), "token").where("c <> d and (c = main or u < v)").where(_fits(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return found.unionByName(_verified(cut(rest.distinct(), "candidates"), texts, size, similarity))
+    return found.unionByName(_verified(cut(pairs.unionByName(rest).distinct(), "candidates"), texts, size, similarity))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small: int = 64) -> DataFrame:
