@@ -92,23 +92,86 @@ def test_links_orders_and_validates(spark):
     assert out[1, "lost", None]["status"] == "orphan" and out[None, "a", 0]["status"] == "pending" and out[1, None, 0]["status"] == "pending"
 
 
-def test_long_chain(spark):
-    calls = [(1, f"c{i}", i, "f", '{"a": 1}', [f"c{i - 1}"] if i else []) for i in range(6)]
-    assert [r["depth"] for r in sorted(linked(spark, calls, []), key=lambda r: r["position"])] == list(range(6))
+def depths_by_hand(calls):
+    """Longest path of references of each distinct call; calls on a cycle, or that lead to one, have none."""
+    refs = {}
+    for conv, cid, _, _, _, ref in calls:
+        refs.setdefault((conv, cid), set()).update((conv, r) for r in ref or [])
+    refs = {k: {r for r in v if r in refs} for k, v in refs.items()}
+    out = {}
+    while ready := [k for k, v in refs.items() if k not in out and all(r in out for r in v)]:
+        out |= {k: max((out[r] + 1 for r in refs[k]), default=0) for k in ready}
+    return out
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(chat, "cut", lambda df, name, f=chat.cut: written.append(name) or f(df, name))
+    calls = [(1, f"c{i}", i, "f", '{"a": 1}', [f"c{i - 1}"] if i else []) for i in range(5000)]
+    assert [r["depth"] for r in sorted(linked(spark, calls, []), key=lambda r: r["position"])] == list(range(5000))
+    assert written.count("chain") <= 13
+
+
+def test_depths_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    calls = []
+    for conv in range(40):
+        n = int(rng.integers(1, 40))
+        for i in range(n):
+            some = rng.integers(0, n if conv % 4 == 0 else max(i, 1), int(rng.choice([0, 1, 1, 1, 2, 3])))  # every fourth may have cycles
+            calls.append((conv, f"c{i}", i, "f", "{}", [f"c{k}" for k in some if k != i or conv % 8 == 0] + ["nowhere"] * (i % 7 == 0)))
+    calls += [(50, f"l{i}", i, "f", "{}", [f"l{i - 1}", f"l{i - 2}"]) for i in range(9)]  # each call has two references
+    calls += [(51, f"s{i}", i, "f", "{}", ["s0"] if i else None) for i in range(300)]  # all refer to one
+    calls += [(52, "a", 0, "f", "{}", ["a"]), (52, "b", 1, "f", "{}", ["a"]), (52, "c", 2, "f", "{}", ["b", "d"]), (52, "d", 3, "f", "{}", [])]
+    want = depths_by_hand(calls)
+    got = linked(spark, calls, [])
+    assert len(got) == len(calls)
+    for r in got:
+        assert r["depth"] == want.get((r["conv_id"], r["call_id"])), r
+        assert r["status"] == ("pending" if (r["conv_id"], r["call_id"]) in want else "cycle")
+
+
+def test_odd_arguments(spark):
+    long = json.dumps({"a": 1, "k": "é" * 300_000}, ensure_ascii=False)
+    calls = [(9007199254740993, "s", 0, "f", '{"a": "\\ud800"}', []), (None, "d", 1, "f", "[" * 200_000 + "]" * 200_000, []), (1, "l", 2, "f", long, []), (1, "n", 3, None, "", []), (1, "h", 4, "f", '{"a": 1e999}', [])]
+    out = {r["call_id"]: r for r in linked(spark, calls, [])}
+    assert out["s"]["conv_id"] == 9007199254740993  # beyond what a double holds, beside a null
+    assert out["s"]["json"] == '{"arguments":{"a":"\\ud800"},"id":"s","name":"f"}' and json.loads(out["s"]["json"])["arguments"] == {"a": "\ud800"}
+    assert out["d"]["json"] is None and out["d"]["problems"] == ["arguments nest too deep"]
+    assert json.loads(out["l"]["json"])["arguments"]["k"] == "é" * 300_000 and out["l"]["problems"] == ["$.k: unknown"]
+    assert out["n"]["problems"] == ["arguments are no JSON"] and out["h"]["problems"] == ["arguments are no JSON"]
+
+
+@pytest.mark.parametrize("schema", [{"type": "int"}, {"pattern": "x"}, {"properties": {"a": {"items": {"oneOf": []}}}}, {"additionalProperties": {}}, []])
+def test_unknown_schemas_are_refused(spark, schema):
+    with pytest.raises(ValueError):
+        chat.link(spark.createDataFrame([], CALL), spark.createDataFrame([], RESULT), {"f": schema})
 
 
-def test_chat_query(spark, sf_dir):
+def test_chat_query_equals_brute_force(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
-    said = [r for r in turns if r["role"] == "assistant"]
+    said = {(r["conv_id"], r["turn"]): r["text"] or "" for r in turns if r["role"] == "assistant"}
+    other = {(r["conv_id"], r["turn"]): r["text"] or "" for r in turns if r["role"] != "assistant"}
+    assert len(said) + len(other) == len(turns)
+    want = set()
+    for (conv, turn), text in said.items():
+        depth = 0
+        while (conv, turn - 2 * depth - 2) in said:
+            depth += 1
+        args = {"turn": turn, "text": text} | ({"after": {"$ref": f"call-{conv}-{turn - 2}"}} if depth else {})
+        answer = other.get((conv, turn + 1))
+        message = {"arguments": args, "id": f"call-{conv}-{turn}", "name": "reply"} | ({} if answer is None else {"result": answer})
+        problems = [] if text else ["$.text: too short"]
+        want.add((conv, message["id"], turn, depth, "pending" if answer is None else "ok", tuple(problems), None if answer is None else turn + 1, int(answer is not None), json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
     out = QUERIES["op8_chat"](spark, sf_dir).collect()
-    assert sum(r["status"] != "orphan" for r in out) == len(said)
-    by = {(r["conv_id"], r["position"]): r for r in out}
-    answers = {(r["conv_id"], r["turn"]): r for r in turns if r["role"] != "assistant"}
-    for r in said:
-        row, answer = by[r["conv_id"], r["turn"]], answers.get((r["conv_id"], r["turn"] + 1))
-        assert (row["result_position"] is not None) == (answer is not None)
-        if row["json"]:
-            assert json.loads(row["json"])["arguments"]["text"] == (r["text"] or "")
+    assert len(out) == len(want) and {(*r[:5], tuple(r[5]), *r[6:]) for r in out} == want
+
+
+def test_many_calls_in_a_turn_keep_their_places(spark):
+    many = json.dumps({"tool_calls": [{"id": f"k{i}", "function": {"name": "f", "arguments": "{}"}} for i in range(1500)]})
+    calls, _ = chat.from_messages(spark.createDataFrame([(1, 0, "assistant", many), (1, 1, "assistant", many)], "conv_id long, turn long, role string, text string"))
+    at = [r["position"] for r in calls.collect()]
+    assert len(set(at)) == 3000 and sorted(at)[1500] == 1 << 32
 
 
 def test_messages_and_empty_tables(spark):

@@ -1,9 +1,11 @@
 """Tool calls of conversations: linked to results by identifier, ordered, validated, and written as canonical JSON.
 
 Calls and results meet in a hash join on (conversation, identifier). The order is topological over the references
-between calls: depth 0 has no open reference, and each round settles the calls whose references are all settled
-(one join on the references that are left; as many rounds as the longest chain). (depth, position) is the order, so
-no conversation is ever gathered in one place, however long. Rows are validated and serialised one by one.
+between calls: depth 0 has no reference, any other call is one deeper than the deepest call it refers to. A call with
+one open reference is a link of a chain; chains are shortened by pointer doubling, in as many rounds as the logarithm of
+their length. What is left are calls with several open references, which are settled layer by layer, each layer over
+chains of any length. (depth, position) is the order, so no conversation is ever gathered in one place, however long.
+Rows are validated and serialised one by one.
 """
 
 from __future__ import annotations
@@ -11,19 +13,44 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, drop, small_batches
+from .tables import cut, drop, new_path, small_batches
 
 KEY = ["conv_id", "call_id"]
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+#: What a schema may say; the last line only describes.
+KEYWORDS = {"type", "enum", "minimum", "maximum", "minLength", "maxLength", "required", "properties", "additionalProperties", "items"}
+NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
 
 
 def canonical(value) -> str:
-    """Sorted keys, no blanks, Unicode as it is, no NaN."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Sorted keys, no blanks, Unicode as it is (a lone surrogate, which UTF-8 cannot hold, as an escape), no NaN."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = "".join(f"\\u{ord(c):04x}" if "\ud800" <= c <= "\udfff" else c for c in text)
+    return text
+
+
+def check_schema(schema: dict, at: str = "$") -> None:
+    """Raise ValueError for a type or keyword that :func:`violations` does not know, at any depth."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema is an object")
+    if unknown := sorted(set(schema) - KEYWORDS - NOTES):
+        raise ValueError(f"{at}: unknown keywords {unknown}")
+    kinds = schema.get("type", [])
+    if odd := sorted(set([kinds] if isinstance(kinds, str) else kinds) - {*TYPES, "integer", "number"}):
+        raise ValueError(f"{at}: unknown types {odd}")
+    for k, s in schema.get("properties", {}).items():
+        check_schema(s, f"{at}.{k}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: additionalProperties is true or false")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
 
 
 def _is(value, kind: str) -> bool:
@@ -61,29 +88,62 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _jumps(links: DataFrame) -> DataFrame:
+    """``links(conv_id, call_id, ref, d, c)``, one row a call, with ref moved on to the first call that is no link.
+
+    A row says depth = max(c, depth(ref) + d). Links on a cycle, or that lead to one, are left out: they are those that
+    still refer to a link after as many steps as the largest conversation has links.
+    """
+    longest = links.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    chain, steps = links, 1
+    while steps < longest:
+        ahead = chain.select("conv_id", F.col("call_id").alias("ref"), F.col("ref").alias("r2"), F.col("d").alias("d2"), F.col("c").alias("c2"))
+        moved = chain.select(*KEY, "ref", "d", "c").join(ahead, ["conv_id", "ref"], "left").select(
+            *KEY, F.coalesce("r2", "ref").alias("ref"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"),
+            F.greatest("c", F.col("c2") + F.col("d")).alias("c"), F.col("r2").isNotNull().alias("moved"),
+        )
+        moved = cut(moved, "chain")
+        if chain is not links:
+            drop(chain)
+        chain, steps = moved, 2 * steps
+        if not chain.where("moved").limit(1).count():
+            break
+    heads = links.select("conv_id", F.col("call_id").alias("ref"))
+    return chain.select(*KEY, "ref", "d", "c").join(heads, ["conv_id", "ref"], "left_anti").select(*KEY, "ref", "d", "c")
+
+
 def _depths(calls: DataFrame) -> DataFrame:
-    """``conv_id, call_id, depth`` of every distinct call that lies on no cycle; unknown references do not count."""
-    nodes = calls.select(*KEY).distinct()
+    """``conv_id, call_id, depth`` of every distinct call that lies on no cycle and leads to none; unknown references
+    do not count."""
+    spark, kept, layer = calls.sparkSession, new_path(calls.sparkSession, "depths"), "conv_id long, call_id string, depth long"
+    nodes = calls.select(*KEY).where("conv_id is not null and call_id is not null").distinct()
     edges = calls.select(*KEY, F.explode(F.array_distinct("refs")).alias("ref")).distinct()
-    edges = cut(edges.join(nodes.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]), "refs")
-    settled = cut(nodes.join(edges.select(*KEY), KEY, "left_anti").withColumn("depth", F.lit(0)), "depth")
-    parts, depth = [settled], 0
-    while True:
-        done = settled.select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("done"))
-        marked = edges.join(done, ["conv_id", "ref"], "left")
-        open_ = cut(marked.where("done is null").drop("done"), "refs")
-        ready = edges.select(*KEY).distinct().join(open_.select(*KEY), KEY, "left_anti")
-        depth += 1
-        settled = cut(ready.withColumn("depth", F.lit(depth)), "depth")
-        drop(edges)
-        edges = open_
-        if not settled.limit(1).count():
+    edges = edges.join(nodes.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"])
+    sizes = edges.groupBy(*KEY).agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    open_ = cut(edges.join(sizes, KEY).select(*KEY, "ref", F.lit(1).cast("long").alias("d"), zero.alias("c"), "n"), "refs")
+    nodes.join(open_.select(*KEY), KEY, "left_anti").withColumn("depth", zero).write.parquet(f"{kept}/0")
+    rounds = 1
+    while open_.limit(1).count():
+        jumps = cut(_jumps(open_.where("n = 1").drop("n")), "jumps")
+        ahead = jumps.select("conv_id", F.col("call_id").alias("ref"), F.col("ref").alias("r2"), F.col("d").alias("d2"), F.col("c").alias("c2"))
+        several = open_.where("n > 1").join(ahead, ["conv_id", "ref"], "left").select(*KEY, F.coalesce("r2", "ref").alias("ref"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.greatest("c", F.col("c2") + F.col("d")).alias("c"))
+        several = several.groupBy(*KEY, "ref").agg(F.max("d").alias("d"), F.max("c").alias("c"))
+        # only the last layer can meet a reference: those to earlier layers have gone with them
+        last = spark.read.schema(layer).parquet(f"{kept}/{rounds - 1}").withColumnRenamed("call_id", "ref")
+        met = jumps.unionByName(several).join(last, ["conv_id", "ref"], "left")
+        met = cut(met.select(*KEY, "ref", "d", F.greatest("c", F.col("depth") + F.col("d")).alias("c"), F.col("depth").isNull().alias("open")), "met")
+        floors = cut(met.groupBy(*KEY).agg(F.max("c").alias("c"), F.count_if("open").alias("n")), "floors")
+        floors.where("n = 0").select(*KEY, F.col("c").alias("depth")).write.parquet(f"{kept}/{rounds}")
+        rounds += 1
+        before, open_ = open_, cut(met.where("open").select(*KEY, "ref", "d").join(floors.where("n > 0"), KEY), "refs")
+        settled = spark.read.schema(layer).parquet(f"{kept}/{rounds - 1}").limit(1).count()
+        for t in (before, jumps, met, floors):
+            drop(t)
+        if not settled:  # of the calls that can be settled, one without an open reference would have been
             break
-        parts.append(settled)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    drop(open_)
+    return spark.read.schema(layer).parquet(*[f"{kept}/{i}" for i in range(rounds)])
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -94,11 +154,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     result_position, n_results, json``. The first result of a call is linked. status: ok, pending (no result),
     duplicate (its id came before in the conversation; not linked), cycle (no topological place; depth null),
     early (its result stands before it), orphan (a result without call). problems: schema violations and unknown
-    references. json: null where the arguments are no JSON. A null conv_id or call_id links with nothing. Empty tables
-    give no rows; repeated rows are duplicates.
+    references. json: null where the arguments are no JSON or nest deeper than Python's parser follows (some thousand
+    levels). A null conv_id or call_id links with nothing. Empty tables give no rows; repeated rows are duplicates;
+    other columns are ignored, whatever their names; texts of any length are taken whole. A schema with a type or
+    keyword beyond ``KEYWORDS`` is a ValueError here, before any row is read.
     """
+    for name, s in schemas.items():
+        check_schema(s, name)
     small_batches(calls.sparkSession)
-    calls = calls.select(F.col("conv_id").cast("long"), F.col("call_id").cast("string"), F.col("position").cast("long"), "name", "arguments", F.coalesce(F.col("refs"), F.array().cast("array<string>")).alias("refs"))
+    calls = calls.select(F.col("conv_id").cast("long"), F.col("call_id").cast("string"), F.col("position").cast("long"), F.col("name").cast("string"), F.col("arguments").cast("string"), F.coalesce(F.col("refs"), F.array().cast("array<string>")).alias("refs"))
     calls = cut(calls.withColumn("nr", F.monotonically_increasing_id()), "calls")
     first = calls.groupBy(*KEY).agg(F.min(F.struct("position", "nr")).alias("first"))
     found = results.groupBy(*KEY).agg(F.min(F.struct("position", "content")).alias("r"), F.count("*").alias("n_results"))
@@ -111,39 +175,46 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     right = found.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rid"), "r", "n_results")
     both = keyed.join(right, (keyed["c"] == right["rc"]) & (keyed["link"] == right["rid"]), "full_outer")
     # a result whose call exists always meets the first call of its id, so what is left alone is an orphan
-    cols = [F.coalesce("c", "rc").alias("conv_id"), F.coalesce("call_id", "rid").alias("call_id"), "position", "depth", "name", "arguments", "lost", "dup", "call", F.col("r.position").alias("result_position"), F.col("r.content").alias("content"), F.coalesce("n_results", F.lit(0)).alias("n_results")]
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            status, problems, texts = [], [], []
-            for r in pdf.itertuples():
-                if r.call is not True:
-                    status.append("orphan")
-                    problems.append([])
-                    texts.append(canonical({"content": r.content, "role": "tool", "tool_call_id": r.call_id}))
-                    continue
-                here = pd.notna(r.result_position)
-                early = here and pd.notna(r.position) and r.result_position < r.position
-                status.append("duplicate" if r.dup else "cycle" if pd.isna(r.depth) and r.call_id is not None and pd.notna(r.conv_id) else "pending" if not here else "early" if early else "ok")
-                bad = [f"unknown reference {x}" for x in (r.lost if r.lost is not None else [])]
-                try:
-                    args = json.loads(r.arguments or "", parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
-                    bad += violations(args, schemas[r.name]) if r.name in schemas else [f"unknown tool {r.name}"]
-                    message = {"arguments": args, "id": r.call_id, "name": r.name}
-                    texts.append(canonical(message | {"result": r.content} if here else message))
-                except ValueError:
-                    bad.append("arguments are no JSON")
-                    texts.append(None)
+    cid, pos, rpos = F.coalesce("call_id", "rid"), F.col("position"), F.col("r.position")
+    is_call, has_result = F.col("call").isNotNull(), F.col("rc").isNotNull()
+    placed = F.col("depth").isNotNull() | cid.isNull() | F.col("c").isNull()
+    status = F.when(~is_call, "orphan").when(F.col("dup"), "duplicate").when(~placed, "cycle").when(~has_result, "pending").when(F.coalesce(rpos < pos, F.lit(False)), "early").otherwise("ok")
+    both = both.select(
+        F.coalesce("c", "rc").cast("long").alias("conv_id"), cid.alias("call_id"), pos.alias("position"), F.col("depth").cast("int").alias("depth"), status.alias("status"), rpos.cast("long").alias("result_position"),
+        F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), is_call.alias("call"), has_result.alias("here"), "name", "arguments", F.col("r.content").cast("string").alias("content"), "lost",
+    )
+    n = 7  # the columns that pass through
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            problems, texts = [], []
+            for cid, call, here, name, arguments, content, lost in zip(b.column(1).to_pylist(), *(c.to_pylist() for c in b.columns[n:])):
+                bad, text = [], None
+                if call:
+                    bad = [f"unknown reference {x}" for x in lost or []]
+                    try:
+                        args = json.loads(arguments or "", parse_constant=_no_constant)
+                        message = {"arguments": args, "id": cid, "name": name}
+                        text = canonical(message | {"result": content} if here else message)
+                        bad += violations(args, schemas[name]) if name in schemas else [f"unknown tool {name}"]
+                    except RecursionError:
+                        bad.append("arguments nest too deep")
+                    except ValueError:
+                        bad.append("arguments are no JSON")
+                else:
+                    text = canonical({"content": content, "role": "tool", "tool_call_id": cid})
                 problems.append(bad)
-            out = pdf[["conv_id", "call_id", "position", "depth", "result_position", "n_results"]].copy()
-            yield out.assign(status=status, problems=problems, json=texts)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(problems, pa.list_(pa.string())), pa.array(texts, pa.string())], [*b.schema.names[:n], "problems", "json"])
 
-    typed = {"conv_id": "long", "call_id": "string", "position": "long", "depth": "int", "result_position": "long", "n_results": "long"}
-    schema = ", ".join(f"{k} {v}" for k, v in typed.items()) + ", status string, problems array<string>, json string"
-    out = both.select(cols).mapInPandas(judge, schema)
+    out = both.mapInArrow(judge, "conv_id long, call_id string, position long, depth int, status string, result_position long, n_results long, problems array<string>, json string")
     return out.select("conv_id", "call_id", "position", "depth", "status", "problems", "result_position", "n_results", "json")
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 REPLY = {"type": "object", "required": ["turn", "text"], "additionalProperties": False, "properties": {"turn": {"type": "integer", "minimum": 0}, "text": {"type": "string", "minLength": 1}, "after": {"type": "object", "required": ["$ref"], "properties": {"$ref": {"type": "string"}}}}}
 
 
@@ -167,12 +238,13 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def from_messages(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of turns whose text is a JSON message: ``{"tool_calls": [{"id", "function": {"name",
     "arguments"}}]}`` of an assistant, ``{"tool_call_id", "content"}`` of role tool. References are the ids in
-    ``{"$ref": id}`` values of the arguments. Other turns are not calls."""
+    ``{"$ref": id}`` values of the arguments. Other turns are not calls. A position is turn * 2^32 plus the place of the
+    call within its turn (turns below 2^31)."""
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
     shape = "struct<tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>,tool_call_id:string,content:string>"
     m = t.withColumn("m", F.from_json("text", shape))
     calls = m.where("role = 'assistant'").select("conv_id", "turn", F.posexplode("m.tool_calls").alias("n", "c"))
     args = F.col("c.function.arguments")
-    calls = calls.select("conv_id", F.col("c.id").alias("call_id"), (F.col("turn") * 1000 + F.col("n")).alias("position"), F.col("c.function.name").alias("name"), args.alias("arguments"), F.regexp_extract_all(args, F.lit(r'\{\s*"\$ref"\s*:\s*"([^"\\]+)"\s*\}'), 1).alias("refs"))
-    results = m.where("role = 'tool'").select("conv_id", F.col("m.tool_call_id").alias("call_id"), (F.col("turn") * 1000).alias("position"), F.col("m.content").alias("content"))
+    calls = calls.select("conv_id", F.col("c.id").alias("call_id"), (F.shiftleft("turn", 32) + F.col("n")).alias("position"), F.col("c.function.name").alias("name"), args.alias("arguments"), F.regexp_extract_all(args, F.lit(r'\{\s*"\$ref"\s*:\s*"([^"\\]+)"\s*\}'), 1).alias("refs"))
+    results = m.where("role = 'tool'").select("conv_id", F.col("m.tool_call_id").alias("call_id"), F.shiftleft("turn", 32).alias("position"), F.col("m.content").alias("content"))
     return calls, results
