@@ -167,13 +167,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     first = calls.groupBy(*KEY).agg(F.min(F.struct("position", "nr")).alias("first"))
     found = results.groupBy(*KEY).agg(F.min(F.struct("position", "content")).alias("r"), F.count("*").alias("n_results"))
     known = calls.select(*KEY).distinct()
-    asked = calls.select(*KEY, "nr", F.explode("refs").alias("ref")).join(known.select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("known")), ["conv_id", "ref"], "left")
-    lost = asked.where("known is null").groupBy("nr").agg(F.array_sort(F.collect_set("ref")).alias("lost"))
-    rows = calls.join(first, KEY, "left").withColumn("dup", ~F.coalesce(F.struct("position", "nr") == F.col("first"), F.lit(True))).drop("first")
-    rows = rows.join(_depths(calls), KEY, "left").join(lost, "nr", "left").withColumn("call", F.lit(True))
-    keyed = rows.withColumn("link", F.when(~F.col("dup"), F.col("call_id"))).withColumnRenamed("conv_id", "c")
+    asked = calls.select(*KEY, F.explode("refs").alias("ref")).join(known.select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("known")), ["conv_id", "ref"], "left")
+    lost = asked.where("known is null").groupBy(*KEY).agg(F.collect_set("ref").alias("lost"))
+    # all joins are on one key, so that arguments and contents are shuffled once
+    rows = calls.withColumn("call", F.lit(True)).join(first, KEY, "left").join(_depths(calls), KEY, "left").join(lost, KEY, "left").withColumnsRenamed({"conv_id": "c"})
+    rows = rows.withColumn("dup", ~F.coalesce(F.struct("position", "nr") == F.col("first"), F.lit(True)))
     right = found.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rid"), "r", "n_results")
-    both = keyed.join(right, (keyed["c"] == right["rc"]) & (keyed["link"] == right["rid"]), "full_outer")
+    both = rows.join(right, (rows["c"] == right["rc"]) & (rows["call_id"] == right["rid"]), "full_outer")
+    mine = lambda c: F.when(~F.coalesce("dup", F.lit(False)), F.col(c))  # noqa: E731  (a duplicate call is not linked)
+    both = both.withColumns({"r": mine("r"), "rc": mine("rc"), "n_results": mine("n_results"), "lost": F.array_sort(F.array_intersect("refs", "lost"))})
     # a result whose call exists always meets the first call of its id, so what is left alone is an orphan
     cid, pos, rpos = F.coalesce("call_id", "rid"), F.col("position"), F.col("r.position")
     is_call, has_result = F.col("call").isNotNull(), F.col("rc").isNotNull()
