@@ -16,17 +16,55 @@ def shares(rows, name, what):
     return {k: v / total for k, v in by.items()}
 
 
-def test_raked_weights_meet_every_marginal(spark, sf_dir):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_weights_probabilities_and_draws_meet_every_marginal(spark, sf_dir, sf):
+    sf_dir = sf_dir.replace("sf0.001", sf)
     rows = QUERIES["op1_mixing"](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    for name, want in TARGETS.items():
-        have = shares(rows, name, lambda r: r["weight"] * r["n_tokens"])
-        present = {k: v for k, v in want.items() if k in have}
-        for k, v in present.items():
-            assert have[k] == pytest.approx(v / sum(present.values()), abs=1e-6)
-    budget = sum(r["probability"] * r["n_tokens"] for r in rows)
-    assert budget <= 0.5 * sum(r["n_tokens"] for r in rows) * (1 + 1e-9)
-    assert all(0 <= r["probability"] <= 1 for r in rows)
+    for what, within in ((lambda r: r["weight"] * r["n_tokens"], 1e-6), (lambda r: r["probability"] * r["n_tokens"], 1e-6), (lambda r: r["sampled"] * r["n_tokens"], 0.01)):
+        for name, want in TARGETS.items():
+            have = shares(rows, name, what)
+            assert set(have) == set(want)
+            assert have == pytest.approx(want, abs=within)
+    total = sum(r["n_tokens"] for r in rows)
+    kept = sum(r["probability"] * r["n_tokens"] for r in rows) / total
+    assert 0.4 < kept <= 0.5 + 1e-9
+    assert sum(r["sampled"] * r["n_tokens"] for r in rows) / total == pytest.approx(kept, abs=0.005)
+    assert all(0 <= r["probability"] <= 1 and 0 <= r["draw_probability"] <= 1 for r in rows)
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    """Counts by hand, weights by plain raking, and probabilities by their definition: a factor a value, cut at one."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op1_mixing"](spark, sf_dir).collect()
+    names, cells = list(TARGETS), {}
+    for r in rows:
+        d = docs[r["doc_id"]]
+        text = d["text"] or ""
+        topic = "tabular" if " | " in text else "note" if len(text) < 600 else "article" if len(text) < 4000 else "long"
+        assert (r["m_source"], r["m_lang"], r["m_topic"]) == (d["source"] if d["source"] in TARGETS["source"] else "*", d["lang"], topic)
+        assert r["n_tokens"] == len(text.encode().split())
+        c = cells.setdefault(tuple(r[f"m_{n}"] for n in names), [0, r["weight"], r["probability"]])
+        c[0] += r["n_tokens"]
+        assert c[1:] == [r["weight"], r["probability"]]
+    total = sum(c[0] for c in cells.values())
+    w = {k: c[0] / total for k, c in cells.items()}
+    for _ in range(500):
+        for i, n in enumerate(names):
+            now = {}
+            for k, x in w.items():
+                now[k[i]] = now.get(k[i], 0) + x
+            w = {k: x * TARGETS[n][k[i]] / now[k[i]] for k, x in w.items()}
+    some = {k: c for k, c in cells.items() if c[0]}
+    assert {k: c[1] for k, c in some.items()} == pytest.approx({k: w[k] * total / c[0] for k, c in some.items()}, rel=1e-6)
+    open_ = [k for k, c in some.items() if c[2] < 1 - 1e-9]  # log p is a sum of a number for each value, and 1 where that is beyond 0
+    values = sorted({(n, v) for k in some for n, v in zip(names, k)})
+    at = np.array([[(n, v) in zip(names, k) for n, v in values] for k in open_], float)
+    logs = np.log([some[k][2] for k in open_])
+    x, *_ = np.linalg.lstsq(at, logs, rcond=None)
+    assert np.abs(at @ x - logs).max() < 1e-4
+    for r in rows:
+        assert r["sampled"] or r["draw_probability"] < 1
 
 
 def test_sampling_follows_the_probabilities(spark):
@@ -39,16 +77,31 @@ def test_sampling_follows_the_probabilities(spark):
     assert again == {r["doc_id"] for r in drawn}
 
 
-def test_rake_and_calibrate_by_hand():
+def test_rake_and_bounds_by_hand():
     w = mixing.rake(np.array([[10.0, 30.0], [40.0, 20.0]]), [np.array([0.5, 0.5]), np.array([0.3, 0.7])])
     assert w.sum(axis=1) == pytest.approx([0.5, 0.5]) and w.sum(axis=0) == pytest.approx([0.3, 0.7])
     assert w[0, 0] * w[1, 1] / (w[0, 1] * w[1, 0]) == pytest.approx(10 * 20 / (30 * 40))  # odds ratios stay
-    p = mixing.calibrate(np.array([100.0, 100.0, 0.0]), np.array([3.0, 1.0, 5.0]), 120.0)
-    assert p.tolist() == pytest.approx([0.9, 0.3, 0.0])
-    assert mixing.calibrate(np.array([10.0, 90.0]), np.array([9.0, 1.0]), 55.0).tolist() == pytest.approx([1.0, 0.5])
-    assert mixing.calibrate(np.array([10.0, 90.0]), np.array([9.0, 0.0]), 55.0).tolist() == [1.0, 0.0]
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="no value with a target"):
         mixing.rake(np.array([1.0, 0.0]), [np.array([0.0, 1.0])])
+    with pytest.raises(ValueError, match="cannot meet all targets"):  # the empty cell contradicts the targets
+        mixing.rake(np.array([[1.0, 1.0], [1.0, 0.0]]), [np.array([0.1, 0.9]), np.array([0.1, 0.9])])
+    tokens = np.array([[100.0, 0.0], [10.0, 90.0]])
+    p, off = mixing.bounded(tokens, np.ones((2, 2)), [np.array([50.0, 50.0]), np.array([60.0, 40.0])])
+    assert off < 1e-7 and p[0, 0] == pytest.approx(0.5) and p[1, 0] == pytest.approx(1.0, abs=1e-3)
+    assert mixing._factors(np.array([[10.0, 90.0]]), np.array([[9.0, 1.0]]), np.array([55.0])) == pytest.approx([0.5])  # full, and a half
+
+
+def test_infeasible_budgets_are_lowered_and_contradictions_told(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("x").alias("a.b"), F.lit(None).cast("int").alias("rid"), F.lit(1).alias("size"))
+    rows = mixing.mix(docs, {"a.b": {"rare": 0.5, "*": 0.5}}, keep=tuple(docs.columns)).collect()
+    assert shares(rows, "a.b", lambda r: r["probability"]) == pytest.approx({"rare": 0.5, "*": 0.5}, abs=1e-6)
+    assert sum(r["probability"] for r in rows) == pytest.approx(600, rel=2e-3)  # not 1500: there are 300 rare ones
+    two = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "p").otherwise("q").alias("a"), F.when(F.col("doc_id") % 2 == 0, "r").otherwise("s").alias("b"))
+    targets = {"a": {"p": 0.3, "q": 0.7}, "b": {"r": 0.6, "s": 0.4}}
+    with pytest.raises(ValueError, match="cannot meet all targets"):
+        mixing.mix(two, targets, strict=True)
+    with pytest.warns(UserWarning, match="nearest fit"):
+        assert mixing.mix(two, targets).count() == 3000
 
 
 def test_mixing_edges(spark, edge_docs):

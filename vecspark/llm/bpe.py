@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import column, small_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -254,7 +254,7 @@ def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordB
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession, 2000)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +288,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.decode(rows), pa.binary())], ["doc_id", "text"])
 
     small_batches(encoded.sparkSession)
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text binary")
+    return encoded.select(column(id_col).cast("long").alias("doc_id"), column(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, limit: int = 250_000) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import let
-from .tables import cut
+from .tables import column, cut
 
 #: Possessive loops, so that Java matches them without recursion; an address starts a run of its characters, or
 #: where the last match ended, and digits start a run of digits, so no start is tried in vain inside a run.
@@ -121,11 +121,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     word can disclose an entity from ``min_support`` common documents on (one: also entities of a single document,
     whose words disclose 1 - log n_t / log N); an empty table gives no rows.
     """
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    d = docs.select(F.monotonically_increasing_id().alias("rid"), column(id_col).cast("long").alias("_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("_text"), *[column(c).alias(f"k_{c}") for c in keep])
     d = d.withColumn("base", base_spans(F.col("_text"))).withColumn("masked", F.when(F.size("base") > 0, mask(F.col("_text"), F.col("base"))))
     long = F.filter(F.regexp_extract_all(F.coalesce("masked", "_text"), F.lit(WORD), 0), lambda w: F.char_length(w) > 2)
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    spans = cut(d.select("rid", F.col("_id").alias("doc_id"), "base", entities.alias("entities"), "masked", F.array_distinct(F.transform(long, lambda w: F.lower(w))).alias("said"), *[f"k_{c}" for c in keep]), "spans")
+    spans = cut(d.select("rid", F.col("_id").alias("doc_id"), "base", entities.alias("entities"), "masked", F.array_distinct(F.transform(long, lambda w: F.lower(w))).alias("said"), *[column(f"k_{c}") for c in keep]), "spans")
     total = F.log2(F.lit(float(max(1, spans.count()))))
 
     held = spans.where(F.size("base") > 0)
@@ -147,7 +147,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     typed = F.coalesce(F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"))), F.array().cast(SPAN))
     with_ = held.join(terms, "rid", "left").withColumn("terms", typed)
     without = spans.where(F.size("base") == 0).withColumn("terms", F.array().cast(SPAN))
-    cols = ["rid", "doc_id", "base", "terms", *[f"k_{c}" for c in keep]]
+    cols = ["rid", "doc_id", "base", "terms", *[column(f"k_{c}") for c in keep]]
     return with_.select(cols).unionByName(without.select(cols))
 
 
@@ -176,6 +176,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     A null text stays null.
     """
     found = find(docs, id_col, text_col, keep=tuple(docs.columns), **how)
-    text = F.col(f"k_{text_col}")
+    text = column(f"k_{text_col}")
     clean = F.when(text.isNotNull(), apply(text, F.concat("base", "terms")))
-    return found.select(*[(clean if c == text_col else F.col(f"k_{c}")).alias(c) for c in docs.columns])
+    return found.select(*[(clean if c == text_col else column(f"k_{c}")).alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, drop, words
+from .tables import column, cut, drop, words
 
 SYMBOLS = r"[#*$%&|<>]"
 FEATURES = ("n_words", "word_chars", "symbols", "dup_lines", "repeats", "upper", "exclaims", "digits", "words_per_line")
@@ -50,7 +50,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     A column c in ``keep`` follows as k_c.
     """
     kept = [f"k_{c}" for c in keep]
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"), *[column(c).alias(k) for c, k in zip(keep, kept)])
     d = d.withColumn("ws", words(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = d.select(
@@ -113,7 +113,7 @@ def learn(feats: DataFrame, labels: DataFrame, precision: float = 0.95, min_bad:
     rows of both labels there is nothing to learn and the list is empty. Thresholds are approximate quantiles and
     the points next to them; ``min_bad`` bad rows held back from growing must support a rule.
     """
-    y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    y = labels.select(column(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     rows = cut(feats.where("not base_failed").join(y, "doc_id").select("f", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")), "labelled")
     quantiles = [(i + 0.5) / bins for i in range(bins)]
     ask = lambda part: rows.where(part).agg(*[F.percentile_approx(F.col("f")[c], quantiles, 10000).alias(c) for c in FEATURES]).first()
@@ -190,10 +190,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     feats = cut(features(docs, id_col, text_col, keep), "features")
     rules = learn(feats, labels, **how)
     rule = F.when(~F.col("base_failed"), decide(rules))
-    return feats.withColumn("rule", rule).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", *[f"k_{c}" for c in keep])
+    return feats.withColumn("rule", rule).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", *[column(f"k_{c}") for c in keep])
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that :func:`judge` keeps, columns and rows as they were."""
     verdict = judge(docs, labels, id_col, text_col, tuple(docs.columns), **how)
-    return verdict.where("kept").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+    return verdict.where("kept").select(*[column(f"k_{c}").alias(c) for c in docs.columns])

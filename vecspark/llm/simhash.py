@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import cut, small_batches
+from .tables import column, cut, small_batches
 
 BLOCKS, BITS = 4, 16
 
@@ -46,13 +46,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
     """``(doc_id long, fp long)`` of every row; fp is the fingerprint's bits as a signed long.
 
-    A column c in ``keep`` follows as k_c.
+    A column c in ``keep`` follows as k_c; ``numbered`` adds a number of the row, rid.
     """
     small_batches(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("fp"), *[F.col(c).alias(f"k_{c}") for c in keep], F.col(text_col).cast("string").alias("_text"))
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("fp"), *[F.monotonically_increasing_id().alias("rid")] * numbered, *[column(c).alias(f"k_{c}") for c in keep], column(text_col).cast("string").alias("_text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,10 +117,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows that repeat that id within the class one stays. An empty table gives no rows.
     """
-    numbered = fingerprints(docs.withColumn("_rid", F.monotonically_increasing_id()), id_col, text_col, shingle, ("_rid", *docs.columns))
-    rows = cut(numbered, "fingerprints")
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("k__rid").alias("rid"))).alias("head")
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, tuple(docs.columns), numbered=True), "fingerprints")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("rid"))).alias("head")
     nodes = rows.groupBy("fp").agg(head)
     classes = nodes.join(_classes(nodes.select("fp"), distance, small), "fp")
-    heads = classes.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.rid").alias("k__rid"))
-    return rows.join(heads, "k__rid", "left_semi").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+    heads = classes.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.rid").alias("rid"))
+    return rows.join(heads, "rid", "left_semi").select(*[column(f"k_{c}").alias(c) for c in docs.columns])

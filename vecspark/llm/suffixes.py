@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, drop, small_batches
+from .tables import column, cut, drop, small_batches
 
 GRAM = 32
 PLACE = 24  # bits of a window's place in a slice; slices are far below 2**24 bytes
@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
     unsure = d.select("doc_id").groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
     if unsure:
         d = cut(d.orderBy("doc_id", "text").withColumn("doc", F.monotonically_increasing_id()), "ordered")

@@ -68,6 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(text, UPPER, LOWER)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import new_path, small_batches
+from .tables import column, new_path, small_batches
 
 END = "\r\n"
 SCHEMA = "record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -33,7 +33,7 @@ def base32_sha1(text: Column) -> Column:
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """``record_id, url, payload, payload_bytes, payload_digest``; a null payload is an empty one."""
-    p = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("payload"))
+    p = pages.select(column(id_col).cast("long").alias("record_id"), column(url_col).cast("string").alias("url"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("payload"))
     return p.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
 
 
