@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import bpe, mixing, privacy, rules, similar
 from vecspark.llm.queries import TARGETS, ranks_path
-from vecspark.llm.tables import cut, drop, table
+from vecspark.llm.tables import column, cut, drop, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that their tokens come in the target shares."""
     drawn = mixing.mix(docs, TARGETS, {"topic": mixing.form()}, keep=tuple(docs.columns))
-    return drawn.where("sampled").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+    return drawn.where("sampled").select(*[column(f"k_{c}").alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
