@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -47,6 +49,20 @@ def test_odd_texts(spark, encoding):
         assert r["ids"] == encoding.encode_ordinary(texts[r["doc_id"]] or "")
 
 
+def test_long_words(spark, encoding):
+    rng = random.Random(7)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choices(of, k=n))
+    texts = [letters(200_000), letters(97), letters(20_000, "ab"), "a" * 5000, "hello" * 3000, "=" * 999, "日本語" * 4000, letters(30_000, "étéß日本語中文ひらがな"), "0123456789" * 2000, letters(5000, "xyz") + "e" * 3000 + letters(3000)]
+    began = time.time()
+    got = bpe.codec(ranks_path(), bpe.PATTERN).encode(pa.array(texts)).lists().to_pylist()
+    assert time.time() - began < 20
+    for t, ids in zip(texts, got):
+        assert ids == encoding.encode_ordinary(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.round_trip(df, ranks_path()).collect():
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(got[r["doc_id"]])
+
+
 def test_encode_then_decode(spark, edge_docs):
     ids = bpe.encode(edge_docs, ranks_path())
     back = bpe.decode(ids, ranks_path())

@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries, one database per Python worker.
 
-Encoding: a text is cut into the pieces of the tokenizer's pattern. Pieces that a worker has not met before go, a
-batch at a time, through one recursive query: their token-position rows join the merge table, the leftmost pair of
-least rank of each word is contracted, and so on until no pair of any word is in the table. Decoding joins
-token-position rows with the vocabulary and concatenates them by an ordered aggregation. Both keep recent answers
-in two generations of bounded dictionaries, which only save time. No data is shuffled, a text never leaves its row.
+Encoding: a text is cut at blanks and line ends into parts, which Arrow numbers a batch at a time; only parts that a
+worker has not met before go on. These are cut into the pieces of the tokenizer's pattern, and the pieces go through one
+recursive query: their token-position rows join the merge table, the leftmost pair of least rank of each word is
+contracted, and so on until no pair of any word is in the table. Decoding joins token-position rows with the vocabulary
+and concatenates them by an ordered aggregation. Answers for recent parts are kept in two generations of bounded
+dictionaries, which only save time. No data is shuffled, a text never leaves its row.
+
+A piece longer than WINDOW bytes goes through the query as overlapping windows. A sequence of tokens is the encoding of
+its bytes if and only if each two neighbours are the encoding of their own bytes; so two windows that share a token can
+be joined there, all neighbours being neighbours within a window. Windows that share none are made twice as long.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import functools
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +31,21 @@ from .tables import column, small_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: ws(w, ids): words as token ids. pos counts from 1; a key orders by rank, then by place.
+#: ws(w, ids): words as token ids. pos counts from 1; a key orders by rank, then by place. Of each word the last step stays.
 CONTRACT = """
-WITH RECURSIVE bpe(step, w, ids) AS (
-    SELECT 0, w, ids FROM ws
-  UNION ALL
-    SELECT step + 1, bpe.w,
-           list_concat(list_append(bpe.ids[:best.k % 4294967296 - 1], (best.k // 4294967296)::INT), bpe.ids[best.k % 4294967296 + 2:])
+WITH RECURSIVE bpe(w, ids) USING KEY (w) AS (
+    SELECT w, ids FROM ws
+  UNION
+    SELECT w, list_concat(list_append(bpe.ids[:best.k % 4294967296 - 1], (best.k // 4294967296)::INT), bpe.ids[best.k % 4294967296 + 2:])
     FROM bpe JOIN (
         SELECT w, min(merged::BIGINT * 4294967296 + pos) AS k
         FROM (SELECT w, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, unnest(generate_series(1, len(ids) - 1)) AS pos FROM bpe)
         JOIN merges USING (a, b) GROUP BY w) best USING (w)
 )
-SELECT w, array_to_string(arg_max(ids, step), ' '), len(arg_max(ids, step)) FROM bpe GROUP BY w ORDER BY w
+SELECT w, array_to_string(ids, ' ') || ' ', len(ids) FROM bpe ORDER BY w
 """
+#: Bytes of a piece that the query takes as they are.
+WINDOW = 96
 #: seqs(s, ids): sequences of token ids. One sort of all rows orders every sequence for the aggregation; the
 #: connection has one thread, so the rows reach it in that order.
 DECODE = """
@@ -47,8 +54,9 @@ SELECT s, string_agg(t, ''), count(*) = count(t) FROM (
     ORDER BY s, pos)
 GROUP BY s ORDER BY s
 """
-#: White space beside which a text is not cut into parts: all but single blanks and line ends between other characters.
-ODD = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Texts that are not cut into parts at each blank and line end, but into pieces one by one: with three of these in a row, two
+#: at the end, or other white space. (Of two in a row the pattern always takes the first by itself.)
+ODD = "[ \n]{3}|[ \n]{2}\\z|[\x00" + "".join(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + "]"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,21 +106,48 @@ def acyclic(method):
     return run
 
 
+class Parts(NamedTuple):
+    """Texts as lists of numbers of distinct parts."""
+
+    ends: np.ndarray  # where each text's numbers end, from 0
+    codes: pa.Array
+    ids: list[str]  # of each distinct part the decimal ids, a blank behind each
+    n: np.ndarray  # how many
+
+    def texts(self, values: pa.Array) -> Iterator[memoryview]:
+        """For each text the values (string or binary) of its parts, one after the other."""
+        got = values.take(self.codes)
+        _, offsets, data = got.buffers()
+        at = np.frombuffer(offsets, "i4")[got.offset : got.offset + len(got) + 1][self.ends].tolist() if len(got) else [0] * len(self.ends)
+        view = memoryview(data if data is not None else b"")
+        return (view[i:j] for i, j in zip(at, at[1:]))
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(self.n[self.codes.to_numpy()])])[self.ends]).astype("i8")
+
+    def lists(self) -> pa.Array:
+        """The ids of each text, as lists."""
+        own = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(self.n)]).astype("i4"), pa.array(np.array("".join(self.ids).split(), "i4")))
+        ends = np.concatenate([[0], np.cumsum(self.lengths())]).astype("i4")
+        return pa.ListArray.from_arrays(ends, own.take(self.codes).flatten())
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary, with one single-threaded DuckDB connection."""
+    """Encoder and decoder of one vocabulary, with one single-threaded DuckDB connection that never spills."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, limit: int = 250_000, memory: str = "256MB"):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, limit: int = 250_000, memory: str = "512MB"):
         import duckdb
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], "i4")
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        self.length = {str(r): len(t) for t, r in ranks.items()}
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._load("merges", pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("a", "b", "merged"), zip(*rows) if rows else ((), (), ()))}))
         # a byte stands as the character of the same number, so that text functions keep arbitrary bytes
         self._load("vocab", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "t": pa.array([t.decode("latin-1") for t in ranks])}))
-        self.pieces, self.parts, self.texts = Recent(limit), Recent(limit), Recent(2 * limit)
+        self.parts, self.decoded = Recent(limit), Recent(limit)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("incoming", rows)
@@ -125,107 +160,127 @@ class Codec:
         self.con.unregister(view)
         return out
 
-    def contract(self, words: list[bytes]) -> list[tuple[str, int]]:
-        """The ids of each word (bytes of one piece): decimal, joined by blanks, and how many."""
+    def contract(self, words: list[bytes], window: int = WINDOW) -> list[tuple[str, int]]:
+        """The ids of each word (bytes of one piece): decimal, a blank behind each, and how many."""
         whole = [self.ranks.get(w) for w in words]
-        todo = [i for i, r in enumerate(whole) if r is None and words[i]]
-        out = [("" if r is None else str(r), int(r is not None)) for r in whole]
+        out = [("" if r is None else f"{r} ", int(r is not None)) for r in whole]
+        todo, size = [], 0
+        for i, r in enumerate(whole):
+            if r is not None or not words[i]:
+                continue
+            if len(words[i]) > window:
+                out[i] = self._long(words[i], window)
+                continue
+            todo.append(i)
+            size += len(words[i])
+            if size > 2_000_000:
+                self._contract(words, todo, out)
+                todo, size = [], 0
         if todo:
-            ids = self.bytes[np.frombuffer(b"".join([words[i] for i in todo]), "u1")]
-            ends = np.cumsum([0, *(len(words[i]) for i in todo)], dtype="i4")
-            rows = pa.table({"w": pa.array(todo, pa.int32()), "ids": pa.ListArray.from_arrays(ends, pa.array(ids))})
-            for w, merged, n in self._ask("ws", rows, CONTRACT):
-                out[w] = (merged, n)
+            self._contract(words, todo, out)
         return out
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = self.pieces.missing(pieces)
-        for p, (ids, n) in zip(new, self.contract([p.encode() for p in new])):
-            self.pieces[p] = (ids, n, (ids,))
-
-    def _pieces(self, parts: list[str]) -> Iterator[list[str]]:
-        """The pieces of each part, by one search over all of them: a line end between parts is a piece by itself."""
+    def _contract(self, words: list[bytes], todo: list[int], out: list) -> None:
+        ids = self.bytes[np.frombuffer(b"".join([words[i] for i in todo]), "u1")]
+        ends = np.cumsum([0, *(len(words[i]) for i in todo)], dtype="i4")
+        rows = pa.table({"w": pa.array(todo, pa.int32()), "ids": pa.ListArray.from_arrays(ends, pa.array(ids))})
+        for w, merged, n in self._ask("ws", rows, CONTRACT):
+            out[w] = (merged, n)
+
+    def _long(self, word: bytes, window: int) -> tuple[str, int]:
+        """The ids of a word, from windows that overlap by half."""
+        starts = range(0, len(word) - window // 2, window // 2)
+        cuts = [word[s : s + window] for s in starts]
+        distinct = list(dict.fromkeys(cuts))
+        known = {c: ids.split() for c, (ids, _) in zip(distinct, self.contract(distinct, window))}
+        tokens, ends = [], [0]  # a token and where it ends
+        for s, c in zip(starts, cuts):
+            own, at = known[c], s
+            place = {}
+            for j, t in enumerate(own):
+                place[at, at + self.length[t]] = j
+                at += self.length[t]
+            i = len(tokens) - 1
+            while i >= 0 and ends[i] >= s and (ends[i], ends[i + 1]) not in place:
+                i -= 1
+            if tokens and (i < 0 or ends[i] < s):  # no token in common
+                return self.contract([word], 2 * window)[0]
+            after = place[ends[i], ends[i + 1]] + 1 if tokens else 0
+            del tokens[i + 1 :], ends[i + 2 :]
+            for t in own[after:]:
+                tokens.append(t)
+                ends.append(ends[-1] + self.length[t])
+        return " ".join(tokens) + " ", len(tokens)
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Where each text's parts end, and the parts, none of them empty."""
+        odd = pa.compute.match_substring_regex(texts, ODD)
+        plain = texts.filter(pa.compute.invert(odd))
+        marked = pa.compute.replace_substring(pa.compute.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+        lists = pa.compute.split_pattern(marked, "\0")
+        if len(plain) < len(texts):
+            pieces = pa.array([self.find(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+            at = odd.to_numpy(zero_copy_only=False)
+            order = np.where(at, len(plain) + np.cumsum(at) - 1, np.cumsum(~at) - 1)
+            lists = pa.concat_arrays([lists, pieces]).take(pa.array(order))
+        ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
+        flat = lists.flatten()
+        some = pa.compute.binary_length(flat).to_numpy() > 0
+        if not some.all():
+            flat, ends = flat.filter(pa.array(some)), np.concatenate([[0], np.cumsum(some)])[ends]
+        return ends.astype("i8"), flat
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of parts: white space is a piece, anything else is searched for pieces, all in one go between line ends."""
+        pieces = {p: [p] for p in parts if p.isspace()}
+        rest = [p for p in parts if p not in pieces]
         own: list[str] = []
-        for p in self.find("\n".join(parts)) if parts else []:
-            if p == "\n":
-                yield own
+        at = iter(rest)
+        for x in self.find("\n".join(rest)) if rest else []:
+            if x == "\n":
+                pieces[next(at)] = own
                 own = []
             else:
-                own.append(p)
-        if parts:
-            yield own
-
-    @staticmethod
-    def _parts(text: str) -> list[str] | None:
-        """Parts of a text between single blanks and line ends that stand between other characters.
-
-        The pattern always ends a piece before such a blank or line end, whatever surrounds it, so parts can be
-        encoded one by one. None if the text has other white space next to those places.
-        """
-        if not text:
-            return []
-        if text[0] in " \n" or text[-1] in " \n" or any(w in text for w in ODD):
-            return None
-        first, *rest = text.split("\n")
-        parts = first.replace(" ", "\n ").split("\n")
-        for line in rest:
-            parts.append("\n")
-            parts += line.replace(" ", "\n ").split("\n")
-        return parts
+                own.append(x)
+        if rest:
+            pieces[next(at)] = own
+        distinct = list(dict.fromkeys(x for own in pieces.values() for x in own))
+        known = dict(zip(distinct, self.contract([x.encode() for x in distinct])))
+        for p, own in pieces.items():
+            self.parts[p] = known[own[0]] if len(own) == 1 else ("".join([known[x][0] for x in own]), sum([known[x][1] for x in own]))
 
     @acyclic
-    def encode(self, texts: list[str]) -> list[list[tuple[str, int, tuple[str, ...]]]]:
-        """For each text its parts in order: decimal ids joined by blanks, how many, and the same piece by piece."""
-        cut: list[tuple[bool, list[str]]] = []
-        parts, pieces = set(), set()
-        for t in texts:
-            got = self._parts(t)
-            if got is None:
-                got = self.find(t)
-                pieces.update(got)
-                cut.append((False, got))
-            else:
-                parts.update(got)
-                cut.append((True, got))
-        if "\n" in parts:
-            parts.remove("\n")
-            pieces.add("\n")
-        new = self.parts.missing(parts)
-        split = list(self._pieces(new))
-        for x in split:
-            pieces.update(x)
-        self._learn(pieces)
-        for p, x in zip(new, split):
-            got = [self.pieces[y] for y in x]
-            self.parts[p] = got[0] if len(got) == 1 else (" ".join([g[0] for g in got]), sum([g[1] for g in got]), tuple([g[0] for g in got]))
-        if "\n" in pieces:
-            self.parts["\n"] = self.pieces["\n"]
-        out = []
-        for fast, x in cut:
-            known = self.parts if fast else self.pieces
-            out.append([known[p] for p in x])
+    def encode(self, texts: pa.Array) -> Parts:
+        """The parts of each text of a string array without nulls."""
+        ends, flat = self._split(texts)
+        numbered = flat.dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        self._learn(self.parts.missing(words))
+        got = [self.parts[w] for w in words]
         self.parts.turn()
-        self.pieces.turn()
-        return out
+        return Parts(ends, numbered.indices, [g[0] for g in got], np.array([g[1] for g in got], "i8"))
 
     @acyclic
-    def decode(self, texts: list[list[tuple[str, int, tuple[str, ...]]]]) -> list[bytes]:
-        """Bytes of each text, given as parts like those of :meth:`encode`."""
-        known = self.texts
-        new = {p[0]: p[2] for x in texts for p in x if p[0] not in known}
-        new = {k: new[k] for k in known.missing(new)}
-        pieces = known.missing({s for x in new.values() for s in x})
-        if pieces:
-            ids = pa.compute.split_pattern(pa.array(pieces), " ")
-            rows = pa.table({"s": pa.array(np.arange(len(pieces), dtype="i4")), "ids": pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.int32()))})
-            for s, t, found in self._ask("seqs", rows, DECODE):
-                if not found:
-                    raise ValueError(f"ids outside the vocabulary: {pieces[s][:80]}")
-                known[pieces[s]] = t.encode("latin-1")
-        for k, x in new.items():
-            known[k] = b"".join([known[s] for s in x])
-        out = [b"".join([known[p[0]] for p in x]) for x in texts]
-        known.turn()
+    def decode(self, ids: list[str]) -> list[bytes]:
+        """The bytes of sequences of decimal ids, a blank behind each."""
+        new = self.decoded.missing(ids)
+        if new:
+            flat = np.array("".join(new).split(), "i4")
+            ends = np.cumsum([0, *(s.count(" ") for s in new)], dtype="i4")
+            for s, t in zip(new, self.decode_lists(pa.ListArray.from_arrays(ends, pa.array(flat)))):
+                self.decoded[s] = t
+        out = [self.decoded[s] for s in ids]
+        self.decoded.turn()
+        return out
+
+    def decode_lists(self, ids: pa.Array) -> list[bytes]:
+        """The bytes of lists of ids (null: none)."""
+        out = [b""] * len(ids)
+        rows = pa.table({"s": pa.array(np.arange(len(ids), dtype="i4")), "ids": ids})
+        for s, t, found in self._ask("seqs", rows, DECODE):
+            if not found:
+                raise ValueError(f"ids outside the vocabulary: {str(ids[s].as_py())[:80]}")
+            out[s] = t.encode("latin-1")
         return out
 
 
@@ -239,17 +294,16 @@ def codec(ranks_path: str, pattern: str, limit: int = 250_000) -> Codec:
     return _codecs[ranks_path, pattern, limit]
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``most`` bytes of text, or one row."""
-    at, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
-    for i, n in enumerate(lengths):
-        if size and size + n > most:
-            yield batch.slice(at, i - at)
-            at, size = i, 0
-        size += n
-    if len(lengths) > at:
-        yield batch.slice(at)
+def _slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most`` bytes of text or of ids, or one row."""
+    c = batch.column(1)
+    lengths = pa.compute.multiply(pa.compute.list_value_length(c), 4) if pa.types.is_list(c.type) else pa.compute.binary_length(c)
+    ends = np.cumsum(lengths.fill_null(0).to_numpy())
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -266,8 +320,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for b in (s for x in batches for s in _slices(x)):
-            ids = [[int(i) for g in x for i in g[0].split()] for x in own.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), own.encode(b.column(1)).lists()], ["doc_id", "ids"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -280,12 +333,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for b in batches:
-            rows = []
-            for x in b.column(1).to_pylist():
-                ids = [" ".join(map(str, (x or [])[i : i + 8])) for i in range(0, len(x or []), 8)]
-                rows.append([(s, 0, (s,)) for s in ids])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.decode(rows), pa.binary())], ["doc_id", "text"])
+        for b in (s for x in batches for s in _slices(x)):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.decode_lists(b.column(1)), pa.binary())], ["doc_id", "text"])
 
     small_batches(encoded.sparkSession)
     return encoded.select(column(id_col).cast("long").alias("doc_id"), column(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text binary")
@@ -295,19 +344,18 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row: encode, then decode the ids, in one pass.
 
     ids_sha256 is over the decimal ids joined by one blank, decoded_sha256 over the decoded bytes. ``with_ids`` adds
-    the ids (array<int>). ``limit`` bounds the memory of recent answers, about 3 KB for each eight entries. A null or empty text has no ids; repeated rows are encoded each; an empty table gives no rows.
+    the ids (array<int>). ``limit`` bounds the memory of recent answers, some 600 bytes an entry. A null or empty text has no ids; repeated rows are encoded each; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = codec(ranks_path, pattern, limit), lambda x: hashlib.sha256(x).hexdigest()
         for b in (s for x in batches for s in _slices(x)):
-            got = own.encode(b.column(1).to_pylist())
-            cols = [[sum([g[1] for g in x]) for x in got], [sha(" ".join([g[0] for g in x]).encode()) for x in got], [sha(t) for t in own.decode(got)]]
-            out = [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
+            got = own.encode(b.column(1))
+            digests = [sha(t[:-1]) for t in got.texts(pa.array(got.ids))]  # without the last blank
+            back = [sha(t) for t in got.texts(pa.array(own.decode(got.ids), pa.binary()))]
+            out = [b.column(0), pa.array(got.lengths()), pa.array(digests), pa.array(back)]
             if with_ids:
-                ends = np.cumsum([0, *cols[0]], dtype="i4")
-                flat = np.array(" ".join([g[0] for x in got for g in x]).split(" ") if ends[-1] else [], "i4")
-                out.append(pa.ListArray.from_arrays(ends, pa.array(flat)))
+                out.append(got.lists())
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
