@@ -72,6 +72,16 @@ def test_encode_then_decode(spark, edge_docs):
         bpe.decode(spark.createDataFrame([(1, [99_999_999])], "doc_id long, ids array<int>"), ranks_path()).collect()
 
 
+def test_answers_are_forgotten_and_found_again(encoding):
+    own = bpe.Codec(bpe.load_ranks(ranks_path()), limit=50)
+    rng = random.Random(9)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choices("abcd.", k=3)) for _ in range(rng.randint(0, 30))) for _ in range(5)]
+        assert own.encode(pa.array(texts)).lists().to_pylist() == [encoding.encode_ordinary(t) for t in texts]
+        assert len(own.known) == len(own.used) <= 50
+    assert own.encode(pa.array([], pa.string())).lists().to_pylist() == []
+
+
 def test_generations_forget():
     r = bpe.Recent(2)
     for k in "abc":
