@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from vecspark.llm import similar
+from vecspark.llm import simhash
 
 
 def grams(text):
@@ -58,10 +58,10 @@ def test_large_groups_and_common_passages(spark):
     rows += [(200 + i, " ".join(f"c{j}" for j in range(3 * i, 3 * i + 60))) for i in range(30)] + [(300, ""), (301, None), (302, "one"), (303, "ONE")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for small in (1, 8, 64):
-        assert sorted(r["doc_id"] for r in similar.deduplicated(df, small=small).collect()) == brute(rows), small
+        assert sorted(r["doc_id"] for r in simhash.deduplicated(df, small=small, similarity=0.8).collect()) == brute(rows), small
 
 
 def test_edges(spark, edge_docs):
-    kept = similar.deduplicated(edge_docs)
+    kept = simhash.deduplicated(edge_docs, similarity=0.8)
     assert kept.columns == edge_docs.columns and 0 < kept.count() < edge_docs.count()
-    assert similar.deduplicated(edge_docs.limit(0)).count() == 0
+    assert simhash.deduplicated(edge_docs.limit(0), similarity=0.8).count() == 0

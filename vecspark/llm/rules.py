@@ -64,12 +64,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         F.regexp_count("text", F.lit(r"\p{Lu}")).alias("n_upper"),
         F.regexp_count("text", F.lit("!")).alias("n_exclaims"),
         F.regexp_count("text", F.lit("[0-9]")).alias("n_digits"),
-        *kept,
+        *[column(k) for k in kept],
     )
     per = lambda a, b, by=100.0: F.when(F.col(b) > 0, F.col(a) * by / F.col(b)).otherwise(0.0)
     rates = {"symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "upper": per("n_upper", "word_chars"), "exclaims": per("n_exclaims", "n_words"), "digits": per("n_digits", "word_chars"), "words_per_line": per("n_words", "n_lines", 1.0), "word_chars": per("word_chars", "n_words", 1.0), "n_words": F.col("n_words").cast("double")}
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.struct(*[rates[f].alias(f) for f in FEATURES]).alias("f"), *kept)
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.struct(*[rates[f].alias(f) for f in FEATURES]).alias("f"), *[column(k) for k in kept])
 
 
 @dataclass(frozen=True)

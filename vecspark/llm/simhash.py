@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .components import components
 from .tables import column, cut, small_batches
 
@@ -49,10 +50,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
     """``(doc_id long, fp long)`` of every row; fp is the fingerprint's bits as a signed long.
 
-    A column c in ``keep`` follows as k_c; ``numbered`` adds a number of the row, rid.
+    The columns in ``keep`` follow as k0, k1 and so on; ``numbered`` adds a number of the row, rid.
     """
     small_batches(docs.sparkSession)
-    d = docs.select(column(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("fp"), *[F.monotonically_increasing_id().alias("rid")] * numbered, *[column(c).alias(f"k_{c}") for c in keep], column(text_col).cast("string").alias("_text"))
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("fp"), *[F.monotonically_increasing_id().alias("rid")] * numbered, *[column(c).alias(f"k{i}") for i, c in enumerate(keep)], column(text_col).cast("string").alias("_text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,14 +113,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, small: int = 64) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, small: int = 64, similarity: float | None = None, size: int = 5) -> DataFrame:
     """One row of each class of near duplicates, columns as they were: the one of least id (a null id comes last).
 
+    With ``similarity``, close fingerprints only propose pairs, which count if the texts' sets of ``size``-word shingles are
+    that similar (Jaccard); the similar pairs that fingerprints miss are added by the exact join of :mod:`.similar`.
+
     Of rows that repeat that id within the class one stays. An empty table gives no rows.
     """
+    if similarity is not None:
+        return similar.deduplicated(docs, lambda t: fingerprint(t, shingle), lambda fps: links(fps, distance, small), id_col, text_col, size, similarity, small)
     rows = cut(fingerprints(docs, id_col, text_col, shingle, tuple(docs.columns), numbered=True), "fingerprints")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("rid"))).alias("head")
     nodes = rows.groupBy("fp").agg(head)
     classes = nodes.join(_classes(nodes.select("fp"), distance, small), "fp")
     heads = classes.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.rid").alias("rid"))
-    return rows.join(heads, "rid", "left_semi").select(*[column(f"k_{c}").alias(c) for c in docs.columns])
+    return rows.join(heads, "rid", "left_semi").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

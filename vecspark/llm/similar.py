@@ -1,4 +1,4 @@
-"""Near copies by their word shingles: an exact join of sets by Jaccard similarity.
+"""Near copies by their word shingles: an exact join of sets by Jaccard similarity, which completes SimHash.
 
 A text is the set of the 64-bit hashes of its word shingles; equal sets are one node. Under any order of all shingles,
 two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each (prefix filtering), so the
@@ -7,12 +7,13 @@ last; they are told by a sample, which decides how fast the join is and never wh
 
 In each bucket the sets first meet the least one. Then buckets of up to ``small`` sets are joined with themselves, and
 in larger ones the sets outside the bucket's main component meet all others; pairs of one component, which cannot
-change it, are all that is left out, so a huge group of near copies stays linear.
+change it, are all that is left out, so a huge group of near copies stays linear. Pairs that fingerprints propose are
+verified first, and what they link need not be compared again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import cut, small_batches
+from .tables import column, cut, small_batches
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -51,24 +52,25 @@ def _frequent(texts: DataFrame, size: int, part: int = 16, most: int = 100_000)
     return np.sort(counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow().column(0).to_numpy())
 
 
-def _sets(d: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``d`` (whose last column is _text) with node, n (the set's size) and prefix in place of zeros."""
+def _sets(d: DataFrame, size: int, similarity: float, mark: Callable[[str | None], int]) -> DataFrame:
+    """``d`` (whose last column is _text) with node, fp (the fingerprint), n (the set's size) and prefix in place of zeros."""
     frequent = _frequent(d.select(F.col("_text").alias("text")), size)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            node, n, prefix = [], [], []
+            node, fp, n, prefix = [], [], [], []
             for t in b.column(b.num_columns - 1):
                 s = shingles(t.as_py(), size)
                 often = np.isin(s, frequent, assume_unique=True)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
+                fp.append(mark(t.as_py()))
                 n.append(len(s))
                 prefix.append(np.concatenate([s[~often], s[often]])[: len(s) - _least(len(s), similarity) + 1])
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.zeros(0, "i8")])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(node, "u8").view("i8")), pa.array(n, pa.int32()), lists, *b.columns[4:-1]], b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(node, "u8").view("i8")), pa.array(np.array(fp, "u8").view("i8")), pa.array(n, pa.int32()), lists, *b.columns[5:-1]], b.schema.names[:-1])
 
     return d.mapInArrow(scan, d.drop("_text").schema)
 
@@ -96,8 +98,9 @@ def _fits(similarity: float):
     return F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
 
 
-def links(rows: DataFrame, texts: DataFrame, size: int, similarity: float, small: int) -> DataFrame:
-    """Edges ``(u, v)`` of ``rows(node, n, prefix)``; their components are those of all similar pairs."""
+def links(rows: DataFrame, texts: DataFrame, size: int, similarity: float, small: int, proposed: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` of ``rows(node, n, prefix)``; their components are those of all similar pairs. The pairs
+    ``proposed(u, v)`` are verified first."""
     keyed = rows.select("node", "n", F.explode("prefix").alias("token"))
     met = keyed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("token", "least")
     shared = cut(keyed.join(met, "token").distinct(), "shared")
@@ -105,7 +108,7 @@ def links(rows: DataFrame, texts: DataFrame, size: int, similarity: float, small
     other = lambda d, *more: d.select("token", F.col("node").alias("v"), F.col("n").alias("m"), *more)
     heads = shared.where("node = least").select("token", F.col("node").alias("u"), "n")
     starred = heads.join(other(shared), "token").where("u <> v").where(_fits(similarity)).select("u", "v")
-    found = _verified(cut(starred.distinct(), "candidates"), texts, size, similarity)
+    found = _verified(cut(starred.unionByName(proposed).distinct(), "candidates"), texts, size, similarity)
     joined = components(found).withColumnRenamed("component", "c")
     shared = cut(shared.join(joined, "node", "left").select("token", "node", "n", "held", F.coalesce("c", "node").alias("c")), "labelled")
     few, many = shared.where(F.col("held") <= small), shared.where(F.col("held") > small)
@@ -118,21 +121,28 @@ def links(rows: DataFrame, texts: DataFrame, size: int, similarity: float, small
     return found.unionByName(_verified(cut(pairs.unionByName(rest).distinct(), "candidates"), texts, size, similarity))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small: int = 64) -> DataFrame:
+def deduplicated(docs: DataFrame, mark: Callable[[str | None], int], near: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small: int = 64) -> DataFrame:
     """One row of each class of near copies, columns as they were: the one of least id (a null id comes last).
 
-    A class is what pairs of a Jaccard similarity of ``similarity`` or more link. Texts without words are copies of
-    each other. Of rows that repeat the least id within the class one stays. An empty table gives no rows.
+    A class is what pairs of a Jaccard similarity of ``similarity`` or more link. ``mark`` makes a text's fingerprint and
+    ``near`` the pairs ``(u, v)`` of close ones among distinct ``fp``. Texts without words are copies of each other. Of
+    rows that repeat the least id within the class one stays. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    zeros = [F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.array().cast("array<long>").alias("prefix")]
-    d = docs.withColumn("_rid", F.monotonically_increasing_id()).select(F.col(id_col).cast("long").alias("doc_id"), *zeros, *[F.col(c).alias(f"k_{c}") for c in ("_rid", *docs.columns)], F.col(text_col).cast("string").alias("_text"))
-    rows = cut(_sets(d, size, similarity), "sets")
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("k__rid").alias("rid"))).alias("head")
-    nodes = cut(rows.groupBy("node").agg(head), "nodes")
+    zero = F.lit(0).cast("long")
+    zeros = [zero.alias("node"), zero.alias("fp"), F.lit(0).alias("n"), F.array().cast("array<long>").alias("prefix"), F.monotonically_increasing_id().alias("rid")]
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), *zeros, *[column(c).alias(f"k{i}") for i, c in enumerate(docs.columns)], column(text_col).cast("string").alias("_text"))
+    rows = cut(_sets(d, size, similarity, mark), "sets")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head")
+    nodes = cut(rows.groupBy("node").agg(head, F.min("fp").alias("fp")), "nodes")
+    # sets of one fingerprint meet the least of them, and these each other
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "fp").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    close = near(least.select("fp")).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    proposed = same.unionByName(close.select(F.col("a").alias("u"), F.col("b").alias("v"))).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     # the texts of sets are read by their rows' numbers, so that a set's copies are not sent
-    texts = rows.select("k__rid", F.col(f"k_{text_col}").cast("string").alias("text")).join(nodes.select("node", F.col("head.rid").alias("k__rid")), "k__rid").select("node", "text")
-    joined = components(links(rows.select("node", "n", "prefix"), texts, size, similarity, small))
+    texts = rows.select("rid", F.col(f"k{docs.columns.index(text_col)}").cast("string").alias("text")).join(nodes.select("node", F.col("head.rid").alias("rid")), "rid").select("node", "text")
+    joined = components(links(rows.select("node", "n", "prefix"), texts, size, similarity, small, proposed))
     classes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = classes.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.rid").alias("k__rid"))
-    return rows.join(heads, "k__rid", "left_semi").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+    heads = classes.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.rid").alias("rid"))
+    return rows.join(heads, "rid", "left_semi").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

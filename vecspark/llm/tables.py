@@ -24,10 +24,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this process only where none is configured (tests, local mode)."""
+    """The cluster's shared folder. In local mode (tests) without one, a folder of this process; elsewhere an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="vecspark-"))
     return _own[0]
