@@ -1,4 +1,4 @@
-"""Where collections of a query go: the shared folder of the session, or one of this process if none is set."""
+"""Where collections of a query go: the shared folder of the session, or in local mode one of this process if none is set."""
 
 from __future__ import annotations
 
@@ -13,6 +13,9 @@ _own: list[str] = []
 def new_root(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="vecspark-"))
         base = _own[0]
