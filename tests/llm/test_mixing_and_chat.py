@@ -96,6 +96,9 @@ def test_infeasible_budgets_are_lowered_and_contradictions_told(spark):
     rows = mixing.mix(docs, {"a.b": {"rare": 0.5, "*": 0.5}}, keep=tuple(docs.columns)).collect()
     assert shares(rows, "a.b", lambda r: r["probability"]) == pytest.approx({"rare": 0.5, "*": 0.5}, abs=1e-6)
     assert sum(r["probability"] for r in rows) == pytest.approx(600, rel=2e-3)  # not 1500: there are 300 rare ones
+    rows = mixing.mix(docs, {"a.b": {"rare": 0.5, "*": 0.5}}, scarce="yield").collect()  # all rare ones, and others up to the half
+    assert sum(r["probability"] for r in rows) == pytest.approx(1500) and all(r["probability"] > 0.995 for r in rows if r["m_a.b"] == "rare")
+    assert mixing.attainable(np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.32, 9.0])) == pytest.approx([0.1, 0.32, 0.58])
     two = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "p").otherwise("q").alias("a"), F.when(F.col("doc_id") % 2 == 0, "r").otherwise("s").alias("b"))
     targets = {"a": {"p": 0.3, "q": 0.7}, "b": {"r": 0.6, "s": 0.4}}
     with pytest.raises(ValueError, match="cannot meet all targets"):

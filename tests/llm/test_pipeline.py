@@ -52,7 +52,7 @@ def test_personal_data_is_the_sanitiser(spark, sf_dir, docs):
 def test_mixture_is_the_draw(spark, sf_dir, docs):
     out = corpus_pipeline.mixture(spark, docs, sf_dir)
     assert out.columns == docs.columns and set(rows(out)) <= set(rows(docs))
-    want = mixing.mix(docs, TARGETS, {"topic": mixing.form()}).where("sampled")
+    want = mixing.mix(docs, TARGETS, {"topic": mixing.form()}, scarce="yield").where("sampled")
     assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(r["doc_id"]) for r in want.collect())
 
 

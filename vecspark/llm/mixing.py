@@ -72,6 +72,22 @@ def shares(seed: np.ndarray, targets: list[np.ndarray]) -> list[np.ndarray]:
     return goals
 
 
+def attainable(goal: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The shares ``goal``, none above ``most``; what that takes from some goes to the others in proportion."""
+    full = np.zeros(len(goal), bool)
+    for _ in goal:
+        free = goal * ~full
+        left = 1 - most[full].sum()
+        if left <= 0 or free.sum() <= 0:
+            break
+        out = np.where(full, most, free / free.sum() * left)
+        if (over := ~full & (out > most)).any():
+            full |= over
+        else:
+            return out
+    return np.minimum(goal, most) / max(np.minimum(goal, most).sum(), 1e-300)
+
+
 def _factors(tokens: np.ndarray, ratio: np.ndarray, goals: np.ndarray, most: float = 1e12) -> np.ndarray:
     """For each row the factor f with sum(tokens * min(1, f * ratio)) = goal; ``most`` where all tokens are not enough."""
     order = np.argsort(-ratio, axis=1, kind="stable")
@@ -110,7 +126,7 @@ def bounded(tokens: np.ndarray, ratio: np.ndarray, goals: list[np.ndarray], tole
 def calibrate(tokens: np.ndarray, goals: list[np.ndarray], budget: float, least: float) -> tuple[np.ndarray, float]:
     """Probabilities that keep ``budget`` tokens with the marginal shares ``goals``, and the budget that was kept to.
 
-    If no probabilities up to 1 do, the budget is lowered to the largest that can be met (within a thousandth), but
+    If no probabilities up to 1 do, the budget is lowered to the largest that can be met (within a thousandth of it), but
     not below ``least``.
     """
     ones = np.ones_like(tokens)
@@ -119,7 +135,7 @@ def calibrate(tokens: np.ndarray, goals: list[np.ndarray], budget: float, least:
         return p, budget
     low, high = least, budget
     p, _ = bounded(tokens, ones, [g * low for g in goals])
-    while high - low > 1e-3 * low:
+    while high - low > 1e-3 * budget:
         mid = (low + high) / 2
         q, off = bounded(tokens, ones, [g * mid for g in goals])
         if off <= 1e-7:
@@ -129,14 +145,16 @@ def calibrate(tokens: np.ndarray, goals: list[np.ndarray], budget: float, least:
     return p, low
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], dims: Mapping[str, Column] | None = None, fraction: float = 0.5, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], dims: Mapping[str, Column] | None = None, fraction: float = 0.5, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), strict: bool = False, scarce: str = "shrink") -> DataFrame:
     """``doc_id, m_<dimension>..., n_tokens, weight, probability, draw_probability, sampled`` of every document, then
     k_<c> for c in ``keep``.
 
     ``targets``: per dimension the wanted share of tokens of each value; ``*`` stands for all others (without it,
     they keep the share they have, and the rest is scaled down to make room). A named value without documents gives its
     share to the others. ``dims``: the column behind a dimension, by default the one of its name. ``fraction``: the
-    wanted share of all tokens; less is kept where that cannot meet the targets. weight: raked over present tokens of
+    wanted share of all tokens. Where some value has too few of them, ``scarce`` "shrink" keeps to the targets and lowers the
+    share to what can meet them, and "yield" keeps to the share: the value has all its tokens drawn, and the others of
+    its dimension get what it lacks (lowered then only if the dimensions contradict each other). weight: raked over present tokens of
     the cell; probability: of the cell, so that the expected tokens meet every marginal; draw_probability: of the cell
     and class of length, after what longer documents left to draw; sampled: the draw, a hash of the id, so rows that
     repeat an id share one random number.
@@ -189,6 +207,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], dims: Mappi
             raked = rake(have, goals, strict=False)
         weight = np.divide(raked * have.sum(), have, out=np.zeros_like(have), where=have > 0)
         goals = shares(have, goals)
+        if scarce == "yield":
+            goals = [attainable(g, 0.999 * _marginal(have, axis) / (fraction * have.sum())) for axis, g in enumerate(goals)]
         probability, budget = calibrate(have, goals, fraction * have.sum(), min(fraction, 1 / weight.max()) * have.sum())
         left, rest = [g * budget for g in goals], have.copy()
         for s in sizes:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import let
-from .tables import column, cut
+from .tables import column, cut, drop
 
 #: Possessive loops, so that Java matches them without recursion; an address starts a run of its characters, or
 #: where the last match ended, and digits start a run of digits, so no start is tried in vain inside a run.
@@ -139,10 +139,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     n_t = spans.select(F.explode("said").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     share = (F.log2("n_et") + total - F.log2("n_t") - F.log2("n_e")) / (total - F.log2("n_e"))
     telling = n_et.where(total > F.log2("n_e")).join(n_t, "term").withColumn("share", share).where(F.col("share") >= generalise_at - 1e-9)
+    telling = cut(telling.select(*entity, "term", "share"), "telling")
+    drop(n_et)
     told = occurs.join(telling.select(*entity, "term", "share"), [*entity, "term"]).groupBy("rid", "term").agg(F.max("share").alias("share"))
     hits = _places(held.select("rid", "masked")).join(told, ["rid", "term"])
     action = F.when(F.col("share") >= remove_at - 1e-9, "remove").otherwise("generalise")
     terms = hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("value")))).alias("terms"))
+    terms = cut(terms, "terms")
+    drop(telling)
     # a row without base spans holds no entity: it needs no join
     typed = F.coalesce(F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"))), F.array().cast(SPAN))
     with_ = held.join(terms, "rid", "left").withColumn("terms", typed)

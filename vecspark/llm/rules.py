@@ -106,12 +106,13 @@ def _gain(bad: int, good: int, bad0: int, good0: int) -> float:
     return bad * (math.log2(bad / (bad + good)) - math.log2(bad0 / (bad0 + good0))) if bad else -1.0
 
 
-def learn(feats: DataFrame, labels: DataFrame, precision: float = 0.95, min_bad: int = 3, max_conditions: int = 4, max_rules: int = 16, bins: int = 32, id_col: str = "doc_id", label_col: str = "quality") -> list[Rule]:
+def learn(feats: DataFrame, labels: DataFrame, precision: float = 0.95, min_bad: int = 3, max_conditions: int = 4, max_rules: int = 16, bins: int = 32, tries: int = 6, id_col: str = "doc_id", label_col: str = "quality") -> list[Rule]:
     """The decision list that rejects rows labelled 0. ``feats`` as :func:`features` gives them.
 
     Rows without label, with a label other than 0 and 1, or failed by the base rules already take no part. Without
     rows of both labels there is nothing to learn and the list is empty. Thresholds are approximate quantiles and
-    the points next to them; ``min_bad`` bad rows held back from growing must support a rule.
+    the points next to them; ``min_bad`` bad rows held back from growing must support a rule. A grown rule that
+    is not precise enough there is given up, and another is grown from a different first condition, up to ``tries`` in a row.
     """
     y = labels.select(column(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     rows = cut(feats.where("not base_failed").join(y, "doc_id").select("f", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")), "labelled")
@@ -135,8 +136,8 @@ def learn(feats: DataFrame, labels: DataFrame, precision: float = 0.95, min_bad:
         return out
 
     rules: list[Rule] = []
-    left = binned
-    while len(rules) < max_rules:
+    left, given_up = binned, set()
+    while len(rules) < max_rules and len(given_up) < tries:
         grown: list[Condition] = []
         part = left.where("not held")
         while len(grown) < max_conditions:
@@ -151,7 +152,9 @@ def learn(feats: DataFrame, labels: DataFrame, precision: float = 0.95, min_bad:
                     bad, good = bad + table[i][n][0], good + table[i][n][1]
                     for at_least, b, g in ((False, bad, good), (True, bad0 - bad, good0 - good)):
                         if b >= min_bad and (gain := _gain(b, g, bad0, good0)) > best[0] + 1e-9:
-                            best = (gain, Condition(c, at_least, float(t)))
+                            found = Condition(c, at_least, float(t))
+                            if grown or (c, at_least) not in given_up:
+                                best = (gain, found)
             if best[1] is None:
                 break
             grown.append(best[1])
@@ -164,7 +167,9 @@ def learn(feats: DataFrame, labels: DataFrame, precision: float = 0.95, min_bad:
         scored = [(held[f"0_{n}"] / max(1, held[f"0_{n}"] + held[f"1_{n}"]), held[f"0_{n}"], -n) for n in range(len(upto))]
         pure, bad, n = max(scored)
         if pure < precision or bad < min_bad:
-            break
+            given_up.add((grown[0].feature, grown[0].at_least))
+            continue
+        given_up = set()
         rules.append(Rule(upto[-n].conditions, held[f"0_{-n}"], held[f"1_{-n}"]))
         left = left.where(~rules[-1].column())
     drop(binned)
@@ -195,5 +200,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that :func:`judge` keeps, columns and rows as they were."""
-    verdict = judge(docs, labels, id_col, text_col, tuple(docs.columns), **how)
-    return verdict.where("kept").select(*[column(f"k_{c}").alias(c) for c in docs.columns])
+    # the list is learnt from the labelled documents; the verdict is part of the scan, so no text is written in between
+    named = labels.select(column(how.get("id_col", "doc_id")).cast("long").alias("_id")).distinct()
+    labelled = docs.select(column(id_col).cast("long").alias("_id"), column(text_col).cast("string").alias("text")).join(named, "_id", "left_semi")
+    feats = cut(features(labelled, "_id", "text"), "features")
+    rules = learn(feats, labels, **how)
+    drop(feats)
+    # features are generated, so that the optimizer does not push the verdict below and compute them anew for each condition
+    judged = features(docs, id_col, text_col, tuple(docs.columns))
+    once = judged.select(F.explode(F.array(F.struct("base_failed", "f"))).alias("_x"), *[column(f"k_{c}") for c in docs.columns])
+    verdict = once.where(~F.col("_x.base_failed") & decide(rules, "_x.f").isNull())
+    return verdict.select(*[column(f"k_{c}").alias(c) for c in docs.columns])

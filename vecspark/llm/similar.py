@@ -2,10 +2,11 @@
 
 A text is the set of the 64-bit hashes of its word shingles; equal sets are one node. Under any order of all shingles,
 two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each (prefix filtering), so the
-join on those loses no pair, and every pair it finds is verified on the whole sets. The order puts frequent shingles
+join on those loses no pair, and every pair it finds is verified on the whole sets, unless the
+prefixes share too few shingles for the rest of the sets to make up. The order puts frequent shingles
 last; they are told by a sample, which decides how fast the join is and never what it finds.
 
-In each bucket the sets first meet the least one. Then buckets of up to ``small`` sets are joined with themselves, and
+In each bucket the sets first meet the least one, in two steps. Then buckets of up to ``small`` sets are joined with themselves, and
 in larger ones the sets outside the bucket's main component meet all others; pairs of one component, which cannot
 change it, are all that is left out, so a huge group of near copies stays linear. Pairs that fingerprints propose are
 verified first, and what they link need not be compared again.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import column, cut, small_batches
+from .tables import column, cut, drop, small_batches
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -75,8 +76,14 @@ def _sets(d: DataFrame, size: int, similarity: float, mark: Callable[[str | None
     return d.mapInArrow(scan, d.drop("_text").schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs(u, v)`` whose texts, of ``texts(node, text)``, are similar."""
+def _verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, similarity: float) -> DataFrame:
+    """The ``pairs(u, v)`` whose texts are similar. ``texts``: rows(rid, text), and nodes(node, rid) that name a set's text.
+
+    Only the texts of sets in pairs are sent on.
+    """
+    rows, nodes = texts
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = rows.join(nodes.join(ends, "node"), "rid").select("node", "text")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,27 +105,48 @@ def _fits(similarity: float):
     return F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
 
 
-def links(rows: DataFrame, texts: DataFrame, size: int, similarity: float, small: int, proposed: DataFrame) -> DataFrame:
+def links(rows: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, similarity: float, small: int, proposed: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` of ``rows(node, n, prefix)``; their components are those of all similar pairs. The pairs
     ``proposed(u, v)`` are verified first."""
     keyed = rows.select("node", "n", F.explode("prefix").alias("token"))
+    done = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        done.append(cut(df, name))
+        return done[-1]
+
     met = keyed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("token", "least")
-    shared = cut(keyed.join(met, "token").distinct(), "shared")
+    shared = kept(keyed.join(met, "token").distinct(), "shared")
     shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("held")), "token")
     other = lambda d, *more: d.select("token", F.col("node").alias("v"), F.col("n").alias("m"), *more)
     heads = shared.where("node = least").select("token", F.col("node").alias("u"), "n")
-    starred = heads.join(other(shared), "token").where("u <> v").where(_fits(similarity)).select("u", "v")
-    found = _verified(cut(starred.unionByName(proposed).distinct(), "candidates"), texts, size, similarity)
+    starred = kept(heads.join(other(shared), "token").where("u <> v").where(_fits(similarity)).select("u", "v").distinct(), "stars")
+    # one candidate a set first, and what was proposed: most of the others are of one component then
+    one = starred.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    found = _verified(kept(one.unionByName(proposed).distinct(), "candidates"), texts, size, similarity)
+    joined = kept(components(found), "joined")
+    of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    apart = starred.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+    found = found.unionByName(_verified(kept(apart.select("u", "v"), "candidates"), texts, size, similarity))
     joined = components(found).withColumnRenamed("component", "c")
-    shared = cut(shared.join(joined, "node", "left").select("token", "node", "n", "held", F.coalesce("c", "node").alias("c")), "labelled")
+    shared = kept(shared.join(joined, "node", "left").select("token", "node", "n", "held", F.coalesce("c", "node").alias("c")), "labelled")
     few, many = shared.where(F.col("held") <= small), shared.where(F.col("held") > small)
     own = few.select("token", F.col("node").alias("u"), "n", F.col("c").alias("d"))
-    pairs = own.join(other(few, "c"), "token").where("u < v and c <> d").where(_fits(similarity)).select("u", "v")
+    pairs = own.join(other(few, "c"), "token").where("u < v and c <> d").where(_fits(similarity)).select("u", "v", "n", "m")
     share = many.groupBy("token", "c").agg(F.count("*").alias("k"))
     main = share.groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
     apart = many.join(main, "token").where("c <> main").select("token", F.col("node").alias("u"), "n", F.col("c").alias("d"), "main")
-    rest = apart.join(other(many, "c"), "token").where("c <> d and (c = main or u < v)").where(_fits(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return found.unionByName(_verified(cut(pairs.unionByName(rest).distinct(), "candidates"), texts, size, similarity))
+    rest = apart.join(other(many, "c"), "token").where("c <> d and (c = main or u < v)").where(_fits(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "n", "m")
+    # a row is a shingle that both prefixes hold. Of the two prefixes take the one that ends first in the order: what the
+    # sets share up to there is in both, and behind it that set has n - prefix more
+    behind = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9)
+    counted = pairs.unionByName(rest).groupBy("u", "v").agg(F.count("*").alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
+    enough = counted.where(F.col("both") + F.greatest(behind("n"), behind("m")) >= needed).select("u", "v")
+    found = found.unionByName(_verified(kept(enough, "candidates"), texts, size, similarity))
+    for t in done:
+        drop(t)
+    return found
 
 
 def deduplicated(docs: DataFrame, mark: Callable[[str | None], int], near: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small: int = 64) -> DataFrame:
@@ -141,7 +169,7 @@ def deduplicated(docs: DataFrame, mark: Callable[[str | None], int], near: Calla
     close = near(least.select("fp")).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
     proposed = same.unionByName(close.select(F.col("a").alias("u"), F.col("b").alias("v"))).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     # the texts of sets are read by their rows' numbers, so that a set's copies are not sent
-    texts = rows.select("rid", F.col(f"k{docs.columns.index(text_col)}").cast("string").alias("text")).join(nodes.select("node", F.col("head.rid").alias("rid")), "rid").select("node", "text")
+    texts = (rows.select("rid", F.col(f"k{docs.columns.index(text_col)}").cast("string").alias("text")), nodes.select("node", F.col("head.rid").alias("rid")))
     joined = components(links(rows.select("node", "n", "prefix"), texts, size, similarity, small, proposed))
     classes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = classes.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.rid").alias("rid"))
