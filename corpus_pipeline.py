@@ -44,10 +44,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that their tokens come in the target shares, or as near as these documents allow.
 
-    Null sources and languages are other values. Rows that repeat an id share one random number. Texts without words weigh
+    Earlier stages take most texts of some forms away; a value with too few tokens keeps all it has, and half of all tokens
+    stay. Null sources and languages are other values. Rows that repeat an id share one random number. Texts without words weigh
     nothing and are drawn like their cell. An empty table stays empty.
     """
-    drawn = mixing.mix(docs, TARGETS, {"topic": mixing.form()}, keep=tuple(docs.columns))
+    drawn = mixing.mix(docs, TARGETS, {"topic": mixing.form()}, keep=tuple(docs.columns), scarce="yield")
     return drawn.where("sampled").select(*[column(f"k_{c}").alias(c) for c in docs.columns])
 
 
