@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vecspark.errors import DocumentNotFound, InvalidParameter
 from vecspark.functions import distance as dist
 from vecspark.functions.filters import matches
-from vecspark.functions.scalar import file_number
 from vecspark.operators import kmeans, topk
 from vecspark.operators.index import hnsw, ivf, ivfpq
 
@@ -84,11 +83,6 @@ def test_filters(spark):
     assert [n(c) for c in ({"tag": "test1"}, {"n": 3}, {"b": True}, {"z": None}, {"a": [1, 2]}, {"tag": "test1", "n": 3}, {"missing": 1}, {"n": "3"}, {"we ird": 1}, {})] == [1, 2, 1, 1, 1, 1, 0, 1, 1, 7]
 
 
-def test_file_numbers():
-    assert [file_number(s) for s in ("123", "0", "-456", "")] == [123, 0, -456, 0]
-    assert all(1_000_000_000 <= file_number(s) <= 2_000_000_000 for s in ("abc123", "doc-id#100", "99999999999"))
-
-
 def test_full_probe_is_exact_and_kmeans_agrees_with_plain(spark, vectors):
     x, df = vectors
     q = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"))

@@ -200,3 +200,22 @@ def test_small_parts(spark, tmp_path):
     assert sweep({"all": lambda: truth}, truth, 2)[0]["recall"] == 1.0
     lines = spark.createDataFrame([("INFO x",), ("an Error",), ("?",)], "value string")
     assert {tuple(r) for r in log_statistics(lines).collect()} == {("INFO", 1), ("ERROR", 1), ("OTHER", 1)}
+
+
+def test_codes_are_stored_and_builds_keep_the_last_row(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(str(i), [float(e) for e in rng.normal(size=8).astype("f4")], "{}") for i in range(60)]
+    twice = [(i, [0.0] * 8, '{"old": 1}') for i, _, _ in rows[:20]] + rows
+    e = Engine(spark, f"file://{tmp_path}/codes")
+    e.create_collection("c", 8, "ivfpq", nlist=4, nprobe=4, m=4)
+    e.build_index("c", spark.createDataFrame(twice, "id string, vector array<float>, parameters string").coalesce(1))
+    assert {r["id"]: r["vector"] for r in e.view("c").collect()} == {i: v for i, v, _ in rows}
+    assert e.store("c").view(codes=True).where("codes is null").count() == 0
+    asked = e.queries([v for _, v, _ in rows[:5]])
+    before = [tuple(r) for r in e.search_vectors("c", asked, 3).orderBy("query_id", "rank").collect()]
+    assert [r[2] for r in before if r[1] == 1] == [i for i, _, _ in rows[:5]]
+    e.upsert("c", spark.createDataFrame([("new", rows[0][1], "{}")], "id string, vector array<float>, parameters string"))
+    e.compact("c")
+    stored = e.store("c").view(codes=True)
+    assert stored.where("codes is null").count() == 1 and stored.count() == 61
+    assert {r["id"] for r in e.search_vectors("c", asked.where("query_id = 0"), 2).collect()} == {"0", "new"}

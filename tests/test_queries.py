@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     assert sorted(repr(norm(tuple(r))) for r in df.select(*cols).collect()) == sorted(repr(norm([r[i] for i in at])) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name,floor", [("ivf_trained_search", 0.5), ("ivfpq_trained_search", 0.5), ("ivfpq_rerank_search", 0.8), ("hnsw_graph_search", 0.9), ("lsh_search", 0.2)])
+@pytest.mark.parametrize("name,floor", [("ivf_trained_search", 0.9), ("ivfpq_trained_search", 0.5), ("ivfpq_rerank_search", 0.9), ("hnsw_graph_search", 0.9), ("lsh_search", 0.9)])
 def test_recall_of_approximate_searches(spark, sf_dir, name, floor):
     exact = {(r["query_id"], r["id"]) for r in core.QUERIES["knn_l2"](spark, sf_dir).collect()}
     found = {(r["query_id"], r["id"]) for r in core.QUERIES[name](spark, sf_dir).collect()}

@@ -15,7 +15,7 @@ from .operators import kmeans, topk
 from .operators.index import IndexSpec, hnsw, ivf, ivfpq
 from .plans.cache import LRUCache
 from .plans.embedding import Provider, auto_embed, embed
-from .plans.store import Files, Store
+from .plans.store import Files, Store, last_write
 
 DOCUMENT = "id string, vector array<float>, parameters string"
 
@@ -143,16 +143,17 @@ class Engine:
     # indexes
 
     def build_index(self, name: str, docs: DataFrame | None = None, max_iter: int = 40) -> int:
-        """Replace the contents with ``docs`` if given, train, and store the rows the way the index type reads them."""
+        """Replace the contents with ``docs`` if given (of equal ids the last row), train, and store the rows the way the
+        index type reads them."""
         store, spec = self.store(name), self.spec(name)
-        rows = store.view().drop("cid") if docs is None else self._ready(name, docs).dropDuplicates(["id"])
+        rows = store.view().drop("cid") if docs is None else last_write(self._ready(name, docs).withColumn("nr", F.monotonically_increasing_id()), "id", ("nr",)).drop("nr")
         p, state = spec.parameters, {"spec": spec.to_json(), "trained": True}
         if spec.index_type == "ivf_flat":
             centroids, lists = ivf.build(rows, p["nlist"], spec.space, max_iter)
             return store.replace(lists, state | {"centroids": centroids}, by_list=True)
         if spec.index_type == "ivfpq":
             centroids, books, lists = ivfpq.build(rows, p["nlist"], p["m"], max_iter)
-            return store.replace(lists.drop("codes"), state | {"centroids": centroids, "books": books}, by_list=True)
+            return store.replace(lists, state | {"centroids": centroids, "books": books}, by_list=True)
         if spec.index_type == "hnsw":
             path = store._new("graph")
             v = store.replace(rows)
@@ -192,7 +193,11 @@ class Engine:
                 raise IndexNotFound(f"{name}: index not trained")
             if spec.index_type == "ivf_flat":
                 return ivf.search(q, docs, state["centroids"], p["nprobe"], k, spec.space)
-            return ivfpq.search(q, ivfpq.encode(docs, state["centroids"], state["books"]), state["centroids"], state["books"], p["nprobe"], k)
+            docs = store.view(codes=True)
+            docs = docs.where(matches(filter)) if filter else docs
+            fresh = ivfpq.encode(docs.where("codes is null").drop("codes"), state["centroids"], state["books"])  # written after the build
+            coded = docs.where("codes is not null").select("id", "cid", "vector", "codes").unionByName(fresh.select("id", "cid", "vector", "codes"))
+            return ivfpq.search(q, coded, state["centroids"], state["books"], p["nprobe"], k)
         graph = self._graph(store) if spec.index_type == "hnsw" and not filter else None
         if graph is not None:
             return hnsw.search(q, graph, k, max(p["efsearch"], k), spec.space)

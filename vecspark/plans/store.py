@@ -91,12 +91,15 @@ class Store:
     def _new(self, name: str) -> str:
         return f"{self.root}/data/{name}-{uuid.uuid4().hex}"
 
-    def append(self, rows: DataFrame) -> int:
-        """Add ``rows(id, vector, parameters, cid, deleted)`` as one delta; of equal ids in it the last row counts."""
+    def append(self, rows: DataFrame, state: dict | None = None) -> int:
+        """Add ``rows(id, vector, parameters, cid, deleted)`` as one delta; of equal ids in it the last row counts.
+
+        ``state`` replaces the state in the same version, so that both are there or neither is.
+        """
         now, path = self.manifest(), self._new("delta")
         seq = F.lit(self.version() + 1).cast("long")
         rows.select("id", F.col("vector").cast("array<float>"), "parameters", F.col("cid").cast("int"), seq.alias("seq"), F.monotonically_increasing_id().alias("nr"), "deleted").write.parquet(path)
-        return self.commit(now | {"deltas": [*now["deltas"], path]})
+        return self.commit(now | {"deltas": [*now["deltas"], path]} | ({} if state is None else {"state": state}))
 
     def replace(self, rows: DataFrame, state: dict | None = None, by_list: bool = False) -> int:
         """A new base of ``rows(id, vector, parameters, cid)``; stored by cid if it has inverted lists."""
@@ -109,19 +112,24 @@ class Store:
         m = manifest or self.manifest()
         return last_write(self.spark.read.schema(LOG).parquet(*m["deltas"]), "id", ("seq", "nr")) if m["deltas"] else None
 
-    def view(self, version: int | None = None) -> DataFrame:
-        """``id, vector, parameters, cid`` of live documents: the base less what deltas touch, and what they leave."""
+    def view(self, version: int | None = None, codes: bool = False) -> DataFrame:
+        """``id, vector, parameters, cid`` of live documents: the base less what deltas touch, and what they leave.
+
+        ``codes`` adds the codes that the base was stored with (null for what came after).
+        """
+        columns = ["id", "vector", "parameters", "cid", *["codes"] * codes]
         m = self.manifest(version)
         empty = self.spark.createDataFrame([], "id string, vector array<float>, parameters string, cid int")
         base = self.spark.read.parquet(m["base"]) if m["base"] else empty
         base = base if "cid" in base.columns else base.withColumn("cid", F.lit(None).cast("int"))
-        base = base.select("id", "vector", "parameters", F.col("cid").cast("int"))
+        base = base if "codes" in base.columns else base.withColumn("codes", F.lit(None).cast("array<int>"))
+        base = base.withColumn("cid", F.col("cid").cast("int")).select(columns)
         changed = self.changes(m)
         if changed is None:
             return base
-        return base.join(changed.select("id"), "id", "left_anti").unionByName(changed.where(~F.col("deleted")).select("id", "vector", "parameters", "cid"))
+        return base.join(changed.select("id"), "id", "left_anti").unionByName(changed.where(~F.col("deleted")).withColumn("codes", F.lit(None).cast("array<int>")).select(columns))
 
     def compact(self) -> int:
         """Fold deltas into a new base; tombstones go. The view is the same before and after."""
         m = self.manifest()
-        return self.replace(self.view(), m["state"], by_list=bool(m["state"].get("centroids")))
+        return self.replace(self.view(codes=bool(m["state"].get("books"))), m["state"], by_list=bool(m["state"].get("centroids")))

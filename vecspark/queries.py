@@ -207,7 +207,7 @@ def pq_adc_search(spark: SparkSession, d: str) -> DataFrame:
 @query("ivf_trained_search")
 def ivf_trained_search(spark: SparkSession, d: str) -> DataFrame:
     centroids, lists = ivf.build(corpus(spark, d), NLIST)
-    return ivf.search(asked(spark, d), lists, centroids, 4, K)
+    return ivf.search(asked(spark, d), lists, centroids, 7, K)
 
 
 @query("ivfpq_trained_search")
@@ -219,7 +219,7 @@ def ivfpq_trained_search(spark: SparkSession, d: str) -> DataFrame:
 @query("ivfpq_rerank_search")
 def ivfpq_rerank_search(spark: SparkSession, d: str) -> DataFrame:
     centroids, books, encoded = ivfpq.build(corpus(spark, d), NLIST, PQ_M)
-    return ivfpq.search(asked(spark, d), encoded, centroids, books, NLIST, K, rerank=4)
+    return ivfpq.search(asked(spark, d), encoded, centroids, books, NLIST, K, rerank=10)
 
 
 @query("hnsw_graph_search")
@@ -232,9 +232,6 @@ def lsh_search(spark: SparkSession, d: str) -> DataFrame:
     return lsh.search(asked(spark, d), corpus(spark, d), K, radius=1.3)
 
 
-query("hnsw_exact_contract", top_sql())(lambda spark, d: topk.knn(asked(spark, d), corpus(spark, d), K))
-
-
 # engine verbs
 
 NO_LABEL_7 = top_sql(where="label <> 7")
@@ -288,6 +285,15 @@ def engine_ivf_full_probe(spark: SparkSession, d: str) -> DataFrame:
     return _hits(e.search_vectors("vectors", asked(spark, d), K))
 
 
+@query("hnsw_exact_contract", TEXT_TOP)
+def hnsw_exact_contract(spark: SparkSession, d: str) -> DataFrame:
+    """A graph that later writes have made stale: the search answers exactly, with the new rows."""
+    e, docs = _engine(spark, d, "hnsw"), _docs(spark, d)
+    e.build_index("vectors", docs.where("cast(id AS long) % 2 = 0"))
+    e.upsert("vectors", docs.where("cast(id AS long) % 2 = 1"))
+    return _hits(e.search_vectors("vectors", asked(spark, d), K))
+
+
 @query("list_collections", "SELECT 'label_' || label AS name, 64 AS dimension, 'flat' AS index_type, 'l2' AS space FROM embeddings GROUP BY label")
 def list_collections(spark: SparkSession, d: str) -> DataFrame:
     e = Engine(spark, new_root(spark, "collections"))
@@ -296,9 +302,17 @@ def list_collections(spark: SparkSession, d: str) -> DataFrame:
     return e.list_collections().drop("metadata")
 
 
-@query("collection_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+@query("collection_counts", "SELECT 'label_' || label AS name, count(*) AS n FROM embeddings GROUP BY label")
 def collection_counts(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    """The live documents of each collection of an engine, one collection a label."""
+    e, docs, out = Engine(spark, new_root(spark, "collections")), _docs(spark, d), None
+    for r in read(spark, d, "embeddings").select("label").distinct().orderBy("label").collect():
+        name = f"label_{r['label']}"
+        e.create_collection(name, 64, "flat")
+        e.upsert(name, docs.where(matches({"label": r["label"]})))
+        counted = e.view(name).groupBy(F.lit(name).alias("name")).agg(F.count("*").alias("n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
 
 
 # op-log: events as writes to users, errors as tombstones
@@ -322,10 +336,14 @@ def get_documents(spark: SparkSession, d: str) -> DataFrame:
     return live(_log(spark, d), "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type", "value")
 
 
-@query("delete_documents", "SELECT * FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query("delete_documents", "SELECT vec_id AS id, label FROM embeddings WHERE label <> 7 AND vec_id % 3 <> 0")
 def delete_documents(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events")
-    return e.join(e.where("event_type = 'error'").select("user_id"), "user_id", "left_anti")
+    """Two deletes from a collection, the second one with ids that the first has taken already."""
+    e, docs = _engine(spark, d, "flat"), _docs(spark, d)
+    e.upsert("vectors", docs)
+    e.delete("vectors", docs.where(matches({"label": 7})).select("id"))
+    e.delete("vectors", docs.where("cast(id AS long) % 3 = 0").select("id"), strict=False)
+    return e.view("vectors").select(F.col("id").cast("long").alias("id"), F.get_json_object("parameters", "$.label").cast("int").alias("label"))
 
 
 @query("compact_levels", NEWEST_SQL)
@@ -362,11 +380,14 @@ def json_filter_props(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").where(matches({"k": 3}, "props")).select("event_id", "user_id", "props")
 
 
-@query("point_get", "SELECT * FROM orders WHERE o_orderkey % 50 = 0")
+@query("point_get", "SELECT vec_id AS id, label, 64 AS dimension FROM embeddings WHERE vec_id % 50 = 0")
 def point_get(spark: SparkSession, d: str) -> DataFrame:
-    orders = read(spark, d, "orders")
-    keys = orders.where("o_orderkey % 50 = 0").select("o_orderkey")
-    return orders.join(keys, "o_orderkey", "left_semi")
+    """Documents of a collection by id, after half of them were written twice."""
+    e, docs = _engine(spark, d, "flat"), _docs(spark, d)
+    e.upsert("vectors", docs.withColumn("parameters", F.lit("{}")))
+    e.upsert("vectors", docs)
+    found = e.get("vectors", docs.where("cast(id AS long) % 50 = 0").select("id"))
+    return found.select(F.col("id").cast("long").alias("id"), F.get_json_object("parameters", "$.label").cast("int").alias("label"), "dimension")
 
 
 @query("cache_key_sha256", "SELECT doc_id, sha256(concat_ws(':', source, '[' || n_chars || ']', '10')) AS key FROM documents")

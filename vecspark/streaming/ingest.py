@@ -16,7 +16,9 @@ def upsert_stream(engine: Engine, name: str, log: DataFrame, checkpoint: str, av
     """Start a query that applies ``log(id, vector, parameters, deleted, seq)`` to a collection.
 
     A batch becomes one version of the store; the batch's number is part of the state, so that a batch that is run
-    again after a failure is not applied twice.
+    again after a failure is not applied twice: both are one version. ``seq`` orders the rows of a batch; a row of a later
+    batch replaces those of batches before, so a log must not deliver an id's rows late over batches
+    (:func:`latest` tells late rows apart).
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -25,9 +27,8 @@ def upsert_stream(engine: Engine, name: str, log: DataFrame, checkpoint: str, av
         if state.get("stream", {}).get(checkpoint, -1) >= number:
             return
         newest = batch.groupBy("id").agg(F.max_by(F.struct("vector", "parameters", "deleted"), "seq").alias("r")).select("id", "r.*")
-        store.append(newest.withColumn("cid", F.lit(None).cast("int")) if not state.get("centroids") else _assigned(newest, state, engine.spec(name).space))
-        m = store.manifest()
-        store.commit(m | {"state": m["state"] | {"stream": m["state"].get("stream", {}) | {checkpoint: number}}})
+        rows = _assigned(newest, state, engine.spec(name).space) if state.get("centroids") else newest.withColumn("cid", F.lit(None).cast("int"))
+        store.append(rows, state | {"stream": state.get("stream", {}) | {checkpoint: number}})
 
     writer = log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
