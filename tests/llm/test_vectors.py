@@ -67,3 +67,23 @@ def test_bad_vectors_and_edges(spark):
     df = spark.createDataFrame([(*r, 0, "k", 1) for r in rows], "vec_id long, embedding array<float>, label int, key string, n int")
     assert got(vectors.near_duplicates(df)) == brute(rows)
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_the_wide_margin_is_exact(spark):
+    rows = clusters(900, 5, 24, 0.2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows)
+    assert sum(r[1] for r in want) > 100
+    assert got(vectors.near_duplicates(df, margin=0.3163)) == want
+
+
+def test_planted_vectors_equal_sql(spark, sf_dir):
+    import duckdb
+
+    from vecspark.llm.queries import ORACLE
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf_dir}/embeddings.parquet')")
+    want = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({ORACLE['planted_vectors']})").fetchall()
+    found = got(QUERIES["planted_vectors"](spark, sf_dir))
+    assert found == sorted(want, key=str) and 100 < sum(r[1] > 0 for r in found) < len(found)

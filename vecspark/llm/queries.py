@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, lm, mixing, privacy, rules, simhash, suffixes, vectors, warc
 from .tables import table
@@ -66,6 +67,14 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def planted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op10 over all embeddings and a disturbed copy of each: a check with links, cosines from 0.9 to 0.99."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    noise = lambda x, i: x + ((F.col("vec_id") * 31 + i * 17) % 11 - 5).cast("double") * (1 + F.col("vec_id") % 4) / 200.0
+    copies = v.withColumn("embedding", F.transform("embedding", noise)).withColumn("vec_id", F.col("vec_id") + 1_000_000_000)
+    return vectors.near_duplicates(v.unionByName(copies))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -77,6 +86,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_vectors": op10_vectors,
+    "planted_vectors": planted_vectors,
 }
 #: Base32 by hand: each ten hexadecimal digits of the SHA-1 are eight digits of five bits.
 BASE32_SQL = "array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hexed, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31) + 1)::INT, 1)), '')"
@@ -95,3 +105,7 @@ ORACLE: dict[str, str] = {
     SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(r.v) FROM reach r WHERE r.u = v.vec_id), v.vec_id)) AS component_id,
     v.vec_id = least(v.vec_id, coalesce((SELECT min(r.v) FROM reach r WHERE r.u = v.vec_id), v.vec_id)) AS kept FROM v""",
 }
+ORACLE["planted_vectors"] = ORACLE["op10_vectors"].replace(
+    "v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)",
+    "e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), v AS (SELECT * FROM e UNION ALL SELECT vec_id + 1000000000, list_transform(x, lambda a, i: a + ((vec_id * 31 + (i - 1) * 17) % 11 - 5)::DOUBLE * (1 + vec_id % 4) / 200.0) FROM e)",
+)
