@@ -174,6 +174,31 @@ def test_rows_of_words_are_forgotten_and_found_again(model):
         assert len(table.used) <= table.frequent + 10
 
 
+def test_all_weights_learn_from_texts_outside_the_sample(spark):
+    """The order of words in texts too long for the sample moves embeddings and attention, and not the output layer alone."""
+    short = [(f"the cat{i % 5} sat on the mat and the dog{i % 3} ran",) for i in range(40)]
+    ends, found = "the cat1 sat on the mat and the dog2 ran".split(), []
+    for order in (ends, ends[::-1]):
+        df = spark.createDataFrame([*short, *[(" ".join(order * 20) + f" n{i}",) for i in range(20)]], "text string")
+        found.append(lm.learn(df, lm.count_words(df), ranks_path(), 50, 40, 40, 200)[0])
+    assert all(not np.array_equal(found[0][k], found[1][k]) for k in found[0])
+
+
+def test_groups_come_from_all_texts(spark):
+    texts = ["the cat the dog", "dog", "", "cat cat bird"]
+    words, first = pa.array([b"", b"the", b"cat", b"dog"], pa.binary()), np.array([5, 0, 1, 1])
+    got = lm._company(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), words, first, 5)
+    want = np.zeros((5, lm.DIRECT))
+    for t in texts:
+        rows = [{b.decode(): i for i, b in enumerate(words.to_pylist())}.get(x) for x in tokens(t)]
+        known = [r for r in rows if r is not None]
+        share = np.rint(1e6 * np.bincount(known, minlength=lm.DIRECT) / len(known))
+        for r in known:
+            if first[r] < 5:
+                want[first[r]] += share
+    assert np.array_equal(got, want)
+
+
 def test_gradient_by_differences(model):
     w, lex, *_ = model
     w = {k: v.astype("f8") for k, v in w.items()}

@@ -9,10 +9,12 @@ with its spelling, a Markov chain of subword ids; the chain gets the mass of wor
 met. So the model is a proper distribution over texts, for words never seen as well.
 
 Learning: all words of all training documents are counted (combined in each task, then shuffled), and classes, shares,
-open counts and spelling follow from those counts. Embeddings and attention start in the driver on a bounded sample
-(``warm_texts`` texts of at most ``warm_bytes``); then the output layer is fitted on every window of every training
-document, by one Newton step from gradients and moments that tasks sum up. Sums do not depend on how rows are dealt
-to partitions, and so the scores do not either (but for rounding in the last digits).
+open counts and spelling follow from those counts, the groups of first ids from the texts they occur in, all of them.
+The weights get their starting values in the driver from a bounded sample (``warm_texts`` texts of at most
+``warm_bytes``). Then all of them, embeddings and attention included, are fitted on every window of every training
+document: texts fall into ``rounds`` by hash, and after each round the weights move by gradients (and moments for the
+output layer) that tasks have summed up. Sums do not depend on how rows are dealt to partitions, and so the scores do
+not either (but for rounding in the last digits).
 
 Scoring: texts are cut into windows of SPAN scored tokens behind CONTEXT tokens that an earlier window scored; a batch
 of windows goes through masked attention at once, and each token is scored exactly once. Only bounded tables travel
@@ -39,6 +41,7 @@ DIM, HIDDEN, SPAN, CONTEXT = 16, 32, 32, 16
 DIRECT, GROUPS, OPEN = 56, 28, 12  # classes: single words, groups of frequent words, groups of all others
 CLASSES = DIRECT + GROUPS + OPEN
 SPELT = 512  # subword ids told apart in spelling and embeddings; the others share one more
+FIRSTS = 2048  # first ids grouped by the texts they occur in
 START = SPELT + 1  # the slot before the first id, and behind the last
 LOWER = np.arange(256, dtype="u1")
 LOWER[65:91] += 32
@@ -124,6 +127,14 @@ class Lexicon:
         return DIRECT + GROUPS + k, lp, slots, n
 
 
+def lists(slots: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype("i4")), pa.array(slots.astype("i2")))
+
+
+def unlisted(of: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return of.flatten().to_numpy().astype("i4"), of.value_lengths().to_numpy().astype("i8")
+
+
 class Table:
     """A worker's rows of words: frequent ones for good, others as long as they are met. Row -1 stands for no word."""
 
@@ -131,12 +142,15 @@ class Table:
         self.lex, self.w, self.limit, self.encode = lex, w, limit, _encoder(lex.path)
         cls, lp, slots, n = lex.describe(self.encode)
         self.frequent = len(cls)
-        self.words, self.cls, self.lp = lex.words, cls, lp
-        self.e = self._mean(slots, n)
+        self.words, self.cls, self.lp, self.slots = lex.words, cls, lp, lists(slots, n)
+        self.e = mean_embeddings(w, slots, n)
         self.used = np.ones(len(cls), bool)
 
-    def _mean(self, slots: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return mean_embeddings(self.w, slots, n)
+    def embed(self, w: dict) -> None:
+        """Take other weights."""
+        if self.w is not w and not all(np.array_equal(self.w[k], w[k]) for k in ("E", "end")):
+            self.e = mean_embeddings(w, *unlisted(self.slots))
+        self.w = w
 
     def rows(self, words: pa.Array) -> np.ndarray:
         """The rows of distinct words, which are learnt if need be."""
@@ -146,6 +160,7 @@ class Table:
                 self.used[self.frequent :] = False
             keep = self.used
             self.words, self.cls, self.lp, self.e = self.words.filter(pa.array(keep)), self.cls[keep], self.lp[keep], self.e[keep]
+            self.slots = self.slots.filter(pa.array(keep))
             self.used = np.arange(len(self.cls)) < self.frequent
         at = pa.compute.index_in(words, value_set=self.words)
         new = at.is_null().to_numpy(zero_copy_only=False)
@@ -155,7 +170,8 @@ class Table:
             cls, lp, slots, n = self.lex.spelling(self.encode, fresh)
             self.words = pa.concat_arrays([self.words, fresh])
             self.cls, self.lp = np.concatenate([self.cls, cls]), np.concatenate([self.lp, lp])
-            self.e = np.concatenate([self.e, self._mean(slots, n)])
+            self.e = np.concatenate([self.e, mean_embeddings(self.w, slots, n)])
+            self.slots = pa.concat_arrays([self.slots, lists(slots, n)])
             self.used = np.concatenate([self.used, np.zeros(len(cls), bool)])
         else:
             row = at.to_numpy()
@@ -176,10 +192,11 @@ _tables: dict[str, Table] = {}
 
 
 def worker_table(lex: Lexicon, w: dict) -> Table:
-    """This worker's table of a lexicon; the embeddings of one lexicon never change."""
+    """This worker's table of a lexicon, with these weights."""
     if lex.uid not in _tables:
         _tables.clear()
         _tables[lex.uid] = Table(lex, w)
+    _tables[lex.uid].embed(w)
     return _tables[lex.uid]
 
 
@@ -230,31 +247,78 @@ def new_weights(prior: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
 _causal = np.where(np.arange(SPAN + CONTEXT)[None, :] <= np.arange(SPAN)[:, None] + CONTEXT, 0, -1e9).astype("f4")
 
 
-def forward(w: dict, e: np.ndarray, x: np.ndarray, kv: tuple | None = None) -> tuple:
-    """Hidden states (windows * SPAN, HIDDEN) that predict the classes behind the last SPAN tokens of ``x``, numbers of
-    rows of ``e``, whose last row is for -1. ``kv``: keys and values of ``e``, if they are known."""
+def inputs(w: dict, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of ``e``: queries, and keys, values and a one side by side."""
+    return e @ (w["q"] * np.float32(DIM**-0.5)), np.concatenate([e @ w["k"], e @ w["v"], np.ones((len(e), 1), e.dtype)], axis=1)
+
+
+def forward(w: dict, e: np.ndarray, x: np.ndarray, known: tuple | None = None) -> tuple:
+    """Hidden states (windows * SPAN, HIDDEN, and a one) that predict the classes behind the last SPAN tokens of ``x``,
+    numbers of rows of ``e``, whose last row is for -1. ``known``: the inputs of ``e``, if they are known."""
     n = len(x)
-    keys, values = kv or (e @ w["k"], e @ w["v"])
-    own = e[x[:, CONTEXT:]]
-    q, k, v = own @ (w["q"] * np.float32(DIM**-0.5)), keys[x], values[x]
-    s = q @ k.transpose(0, 2, 1)
+    queries, kv = known or inputs(w, e)
+    own, q, kv = e.take(x[:, CONTEXT:], axis=0), queries.take(x[:, CONTEXT:], axis=0), kv.take(x, axis=0)
+    s = q @ kv[..., :DIM].transpose(0, 2, 1)
     s += w["place"] + _causal
     s[x[:, CONTEXT - 1] < 0, :, :CONTEXT] = -1e9  # a first window has no context
     if s.max(initial=0) > 60:
         np.minimum(s, np.float32(60), out=s)
     np.exp(s, out=s)  # scores are bounded above, and a token always sees itself
-    total = s.sum(axis=-1, keepdims=True) + np.float32(1e-30)
-    both = np.concatenate([own, (s @ v) / total], axis=-1).reshape(n * SPAN, 2 * DIM)
-    z = both @ w["a"]
-    z += w["a0"]
+    mixed = s @ kv[..., DIM:]
+    total = mixed[..., DIM:] + np.float32(1e-30)
+    both = np.empty((n, SPAN, 2 * DIM + 1), s.dtype)
+    both[..., :DIM], both[..., -1] = own, 1
+    np.divide(mixed[..., :DIM], total, out=both[..., DIM:-1])
+    both = both.reshape(n * SPAN, 2 * DIM + 1)
+    layer = np.zeros((2 * DIM + 1, HIDDEN + 1), s.dtype)
+    layer[:-1, :-1], layer[-1, :-1], layer[-1, -1] = w["a"], w["a0"], 1
+    z = both @ layer
     np.maximum(z, 0, out=z)
-    return z, (own, q, k, v, s, total, both)
+    return z, (own, q, kv, s, total, both)
+
+
+def backward(w: dict, e: np.ndarray, x: np.ndarray, z: np.ndarray, cache: tuple, p: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Gradients of all weights below the output layer, and of the rows of ``e`` at ``x``, from those of the classes'
+    logits. ``cache`` is used up."""
+    own, q, kv, s, total, both = cache
+    n = len(x)
+    s /= total
+    dz = p @ w["b"].T
+    dz *= z[:, :-1] > 0
+    layer = both.T @ dz
+    g = {"a": layer[:-1], "a0": layer[-1]}
+    dboth = (dz @ w["a"].T).reshape(n, SPAN, 2 * DIM)
+    dmixed = dboth[..., DIM:]
+    ds = dmixed @ kv[..., DIM:-1].transpose(0, 2, 1)
+    ds -= (dmixed * both.reshape(n, SPAN, -1)[..., DIM:-1]).sum(axis=-1, keepdims=True)
+    ds *= s
+    g["place"] = ds.sum(axis=0)
+    dq = ds @ kv[..., :DIM]
+    dq *= p.dtype.type(DIM**-0.5)
+    dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dmixed], axis=-1)
+    flat = lambda t: t.reshape(-1, t.shape[-1])
+    g["q"], both_ways = flat(own).T @ flat(dq), flat(e.take(x, axis=0)).T @ flat(dkv)
+    g["k"], g["v"] = both_ways[:, :DIM], both_ways[:, DIM:]
+    de = dkv @ np.concatenate([w["k"], w["v"]], axis=1).T
+    de[:, CONTEXT:] += dboth[..., :DIM] + dq @ w["q"].T
+    return g, flat(de)
+
+
+def spread(at: np.ndarray, de: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows ``de`` by their numbers ``at``, -1: none."""
+    at, de = np.where(at < 0, n, at).ravel(), np.ascontiguousarray(de.T)
+    return np.stack([np.bincount(at, d, n + 1) for d in de], axis=1)[:-1]
+
+
+def to_slots(rows: np.ndarray, slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients of E and of the end from those of words with these slots."""
+    each = np.repeat(rows / np.maximum(n, 1)[:, None], n, axis=0)
+    return np.stack([np.bincount(slots, each[:, j], SPELT + 1) for j in range(DIM)], axis=1), rows[n == 0].sum(axis=0)
 
 
 def odds(w: dict, z: np.ndarray) -> np.ndarray:
     """What the classes' probabilities are proportional to, without overflow."""
-    p = z @ w["b"]
-    p += w["out0"]
+    p = z @ np.concatenate([w["b"], w["out0"][None]])
     top = np.float32(max(0.0, float(p.max(initial=0)) - 60))
     if top:
         p -= p.max(axis=1, keepdims=True)
@@ -264,36 +328,54 @@ def odds(w: dict, z: np.ndarray) -> np.ndarray:
 
 def class_log_probabilities(w: dict, e: np.ndarray, cls: np.ndarray, win: Windows, chunk: int = 64) -> np.ndarray:
     """Natural log probability of each token's class. ``e``, ``cls``: of the distinct words, and of -1 at the end."""
-    out, kv = np.zeros(win.y.shape), (e @ w["k"], e @ w["v"])
+    out, known, ones = np.zeros(win.y.shape), inputs(w, e), np.ones(CLASSES, e.dtype)
     for i in range(0, len(win.x), chunk):
-        z, _ = forward(w, e, win.x[i : i + chunk], kv)
+        z, _ = forward(w, e, win.x[i : i + chunk], known)
         p = odds(w, z)
-        picked = p[np.arange(len(p)), cls[win.y[i : i + chunk].ravel()]] / p.sum(axis=1)
+        picked = p[np.arange(len(p)), cls[win.y[i : i + chunk].ravel()]] / (p @ ones)
         out[i : i + chunk] = np.log(np.maximum(picked, np.float32(1e-38))).reshape(-1, SPAN)
     return out.ravel()[win.place]
 
 
-def output_sums(w: dict, e: np.ndarray, cls: np.ndarray, win: Windows, chunk: int = 64) -> np.ndarray:
+def output_sums(w: dict, e: np.ndarray, cls: np.ndarray, win: Windows, chunk: int = 64, below: dict | None = None) -> np.ndarray:
     """Over all tokens: gradient of the output layer (a row more for its bias), moments of hidden states, expected and
-    real counts of classes; as one flat array of sums."""
-    kv = (e @ w["k"], e @ w["v"])
+    real counts of classes; as one flat array of sums. ``below`` gets the gradients of all other weights added, those of
+    the rows of ``e`` (without its last) as "rows", and the loss in nats."""
+    known, ones = inputs(w, e), np.ones(CLASSES, e.dtype)
     grad, moments, expected = np.zeros((HIDDEN + 1, CLASSES)), np.zeros((HIDDEN + 1, HIDDEN + 1)), np.zeros(CLASSES)
+    wait: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(0, len(win.x), chunk):
-        z, _ = forward(w, e, win.x[i : i + chunk], kv)
+        x = win.x[i : i + chunk]
+        z, cache = forward(w, e, x, known)
         p = odds(w, z)
-        p /= p.sum(axis=1, keepdims=True)
+        p *= (1 / (p @ ones))[:, None]
         t = win.y[i : i + chunk].ravel()
-        z = np.concatenate([z, np.ones((len(z), 1), "f4")], axis=1)
+        live = z
         if none := np.flatnonzero(t < 0).tolist():
-            z[none], p[none] = 0, 0
-        expected += p.sum(axis=0)
-        p[np.arange(len(p)), cls[t]] -= 1
-        grad += z.T @ p
-        moments += z.T @ z
+            live = z.copy()
+            live[none], p[none] = 0, 0
+        expected += live[:, -1] @ p
+        at = np.flatnonzero(t >= 0)
+        real = cls[t[at]]
+        if below is not None:
+            below["loss"] -= np.log(np.maximum(p[at, real], np.float32(1e-38))).sum(dtype="f8")
+        p[at, real] -= 1
+        grad += live.T @ p
+        moments += live.T @ live
+        if below is not None:
+            g, de = backward(w, e, x, z, cache, p)
+            for k, v in g.items():
+                below[k] += v
+            wait.append((x.ravel(), de))
+            if len(wait) * chunk >= 2048 or i + chunk >= len(win.x):
+                below["rows"] += spread(np.concatenate([a for a, _ in wait]), np.concatenate([d for _, d in wait]), len(e) - 1)
+                wait = []
     return np.concatenate([grad.ravel(), moments.ravel(), expected])
 
 
 SUMS = (HIDDEN + 1) * CLASSES + (HIDDEN + 1) ** 2 + CLASSES
+BELOW = {"a": (2 * DIM, HIDDEN), "a0": (HIDDEN,), "place": (SPAN, SPAN + CONTEXT), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "E": (SPELT + 1, DIM), "end": (DIM,), "loss": ()}
+ALL_SUMS = SUMS + sum(math.prod(v) for v in BELOW.values())
 
 
 def newton(w: dict, sums: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -312,6 +394,21 @@ def stepped(w: dict, step: np.ndarray, rate: float) -> dict:
     return w | {"b": (w["b"] + rate * step[:-1]).astype("f4"), "out0": (w["out0"] + rate * step[-1]).astype("f4")}
 
 
+def lowered(w: dict, g: dict, squares: dict, n: float, rate: float) -> dict:
+    """The weights below the output layer, after a step against the sums ``g`` over n tokens; a weight moves by ``rate``
+    times its gradient's share of the noise it is used to, and by no more than ``rate``."""
+    move = {k: np.clip(g[k] / max(1.0, n) / (np.sqrt(squares[k]) + 1e-4), -1, 1) for k in BELOW if k != "loss"}
+    return w | {k: (w[k] - rate * m).astype("f4") for k, m in move.items()}
+
+
+def trusted(step: np.ndarray, sums: np.ndarray, rate: float = 0.2, most: float = 0.05) -> np.ndarray:
+    """``rate`` of a Newton step, and less for classes whose logits would move by more than ``most`` (root mean square over
+    the moments in ``sums``): whole steps take classes for independent of the hidden state, and overshoot."""
+    s = sums[(HIDDEN + 1) * CLASSES : SUMS - CLASSES].reshape(HIDDEN + 1, HIDDEN + 1)
+    moved = np.sqrt(np.maximum((step * (s @ step)).sum(axis=0), 0) / max(1.0, s[-1, -1]))
+    return step * np.minimum(rate, most / np.maximum(moved, 1e-12))
+
+
 class Sample:
     """Texts of the bounded sample, as windows over a table of their distinct words with all their slots."""
 
@@ -343,10 +440,8 @@ def gradient(w: dict, b: Sample, pick: np.ndarray, table: np.ndarray | None = No
     """Mean loss in nats over the classes of the picked windows' targets, and its gradient."""
     table = b.embed(w) if table is None else table
     x, y = b.win.x[pick], b.win.y[pick].ravel()
-    e = table[x]
-    z, (own, q, k, v, s, total, both) = forward(w, table, x)
-    s = s / total
-    logits = z @ w["b"] + w["out0"]
+    z, cache = forward(w, table, x)
+    logits = z[:, :-1] @ w["b"] + w["out0"]
     logits -= logits.max(axis=-1, keepdims=True)
     p = np.exp(logits)
     total = p.sum(axis=-1, keepdims=True)
@@ -355,30 +450,14 @@ def gradient(w: dict, b: Sample, pick: np.ndarray, table: np.ndarray | None = No
     p /= total
     p[rows, c] -= 1
     p *= (live / m).astype(p.dtype)[:, None]
-    g = {"b": z.T @ p, "out0": p.sum(axis=0)}
-    dz = (p @ w["b"].T) * (z > 0)
-    g["a"], g["a0"] = both.T @ dz, dz.sum(axis=0)
-    dboth = (dz @ w["a"].T).reshape(len(x), SPAN, 2 * DIM)
-    dmixed = dboth[..., DIM:]
-    ds, dv = dmixed @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dmixed
-    ds = s * (ds - (ds * s).sum(axis=-1, keepdims=True))
-    g["place"] = ds.sum(axis=0)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    dq, dk = (ds @ k) * p.dtype.type(DIM**-0.5), ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = flat(own).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ w["k"].T + dv @ w["v"].T
-    de[:, CONTEXT:] += dboth[..., :DIM] + dq @ w["q"].T
-    n = len(b.n_slots)
-    at, de = np.where(x < 0, n, x).ravel(), flat(de)
-    rows = np.stack([np.bincount(at, de[:, j], n + 1) for j in range(DIM)], axis=1)[:-1]
-    g["end"] = rows[b.n_slots == 0].sum(axis=0)
-    spread = np.repeat(rows / np.maximum(b.n_slots, 1)[:, None], b.n_slots, axis=0)
-    g["E"] = np.stack([np.bincount(b.slots, spread[:, j], SPELT + 1) for j in range(DIM)], axis=1)
+    g, de = backward(w, table, x, z, cache, p)
+    g |= {"b": z[:, :-1].T @ p, "out0": p.sum(axis=0)}
+    g["E"], g["end"] = to_slots(spread(x, de, len(b.n_slots)), b.slots, b.n_slots)
     return loss / m, g
 
 
-def fit(w: dict, samples: list[Sample], steps: int, rate: float, size: int = 96, seed: int = 11) -> dict:
-    """Adam over random sets of windows, the rate falling to a tenth."""
+def fit(w: dict, samples: list[Sample], steps: int, rate: float, size: int = 96, seed: int = 11) -> tuple[dict, dict]:
+    """Adam over random sets of windows, the rate falling to a tenth; and the mean squares of the last gradients."""
     w = {k: v.copy() for k, v in w.items()}
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     rng = np.random.default_rng(seed)
@@ -391,7 +470,7 @@ def fit(w: dict, samples: list[Sample], steps: int, rate: float, size: int = 96,
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
             w[k] -= (r * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)).astype("f4")
-    return {k: v.astype("f4") for k, v in w.items()}
+    return {k: v.astype("f4") for k, v in w.items()}, {k: v / (1 - 0.99 ** max(1, steps)) for k, v in s.items()}
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -492,12 +571,43 @@ def _sample(texts: DataFrame, rows: int, most: int) -> pa.Array:
     return found.sort_by("h").column("text").combine_chunks().cast(pa.string())
 
 
-def learn(texts: DataFrame, counts: DataFrame, path: str, top_words: int = 250_000, warm_texts: int = 600, warm_steps: int = 400, warm_bytes: int = 20_000) -> tuple[dict, Lexicon, np.ndarray, np.ndarray]:
+def _company(texts: DataFrame, lex_words: pa.Array, first: np.ndarray, ids: int) -> np.ndarray:
+    """How often each first id (``first`` of the frequent words, those below ``ids``) stands in a text, times the shares
+    of the direct words in it; over all texts, in whole millionths, so that sums are exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, of = np.zeros((ids, DIRECT)), np.append(first, ids)
+        for b in slices(batches, 0):
+            words, size = tokenize(b.column(0))
+            token, own = with_ends(words, size)
+            row = pa.compute.index_in(own, value_set=lex_words).fill_null(len(first)).to_numpy()
+            col, key = np.where(row < min(DIRECT, len(first)), row, DIRECT).astype("i4")[token], of[row].astype("i4")[token]
+            ends = np.concatenate([[0], np.cumsum(size + 1)])
+            for i in range(0, len(size), 64):
+                k = min(64, len(size) - i)
+                at = slice(ends[i], ends[i + k])
+                doc = np.repeat(np.arange(k, dtype="i4"), size[i : i + k] + 1)
+                base = np.bincount(doc * (DIRECT + 1) + col[at], minlength=k * (DIRECT + 1)).reshape(k, -1)[:, :-1]
+                share = np.rint(1e6 * base / np.maximum(1, base.sum(axis=1, keepdims=True)))
+                times = np.bincount(doc * (ids + 1) + key[at], minlength=k * (ids + 1)).reshape(k, -1)[:, :-1]
+                total += times.T.astype("f8") @ share
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype("i8"))], ["i", "c"])
+
+    found = texts.mapInArrow(run, "i long, c long").groupBy("i").agg(F.sum(F.col("c").cast("double")).alias("c")).toArrow()
+    out = np.zeros(ids * DIRECT)
+    out[found.column("i").to_numpy()] = found.column("c").to_numpy()
+    return out.reshape(ids, DIRECT)
+
+
+def learn(texts: DataFrame, counts: DataFrame, path: str, top_words: int = 250_000, warm_texts: int = 600, warm_steps: int = 400, warm_bytes: int = 20_000, rounds: int = 4, rate: float = 0.03) -> tuple[dict, Lexicon, np.ndarray, np.ndarray]:
     """Weights, lexicon, and of each open class the tokens and the words met once, from ``texts(text)`` and the words'
     counts.
 
-    ``top_words`` words and ``warm_texts`` texts of at most ``warm_bytes`` (by hash) come to the driver, where embeddings
-    and attention are fitted on these texts; the output layer is then fitted on all windows of all texts.
+    ``top_words`` words and ``warm_texts`` texts of at most ``warm_bytes`` (by hash) come to the driver, where the weights
+    get their starting values. Then each text is in one of ``rounds`` rounds, and each round moves all weights by sums
+    over all windows of its texts: the output layer by parts of Newton steps over the moments of all rounds so far,
+    each other weight by ``rate`` at most, and less from round to round.
     """
     top = counts.where("c > 1 and word <> x''").orderBy(F.desc("c"), "word").limit(top_words).toArrow()  # words met once stand for words never met
     n_ends = counts.where("word = x''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
@@ -511,25 +621,19 @@ def learn(texts: DataFrame, counts: DataFrame, path: str, top_words: int = 250_0
     direct_ids = np.argsort(-use, kind="stable")[:SPELT]
     rest = _open_words(counts, path, words, direct_ids, size)
 
-    # groups of first ids, by the frequent words of the texts they occur in
-    seen = np.zeros((size, DIRECT))
-    said, many = tokenize(sample)
-    token, own = with_ends(said, many)
-    column_of = pa.compute.index_in(own, value_set=words.slice(0, DIRECT)).fill_null(-1).to_numpy()
-    i, n = subwords(encode, own)
-    first = np.where(n > 0, i[np.minimum(np.cumsum(n) - n, max(0, len(i) - 1))], -1) if len(i) else np.full(len(n), -1)
-    for x in np.split(token, np.cumsum(many + 1)[:-1]) if len(many) else []:
-        c = column_of[x]
-        base = np.bincount(c[c >= 0], minlength=DIRECT)
-        f, times = np.unique(first[x], return_counts=True)
-        seen[f[f >= 0]] += times[f >= 0, None] * base / max(1, base.sum())
+    # groups of first ids, by the direct words of the texts they occur in
+    first = np.where(n > 0, ids[np.minimum(np.cumsum(n) - n, max(0, len(ids) - 1))], -1) if len(ids) else np.full(len(n), -1)
+    often = np.argsort(-np.bincount(first[first >= 0], freq[first >= 0], size), kind="stable")[:FIRSTS]
+    rank = np.full(size + 1, FIRSTS)
+    rank[often] = np.arange(FIRSTS)
+    seen = _company(texts, words, rank[first], FIRSTS)
     some = np.flatnonzero(seen.sum(axis=1) > 0)
 
     def groups(k: int) -> np.ndarray:
         of = np.arange(size) % k
         if len(some) >= k:
             f = np.sqrt(seen[some] / seen[some].sum(axis=1, keepdims=True))
-            of[some] = (f @ spherical_kmeans(f, k).T).argmax(axis=1)
+            of[often[some]] = (f @ spherical_kmeans(f, k).T).argmax(axis=1)
         return of
 
     lex = Lexicon(path, words, freq, direct_ids, rest["pairs"].reshape(SPELT + 2, SPELT + 2), rest["ids"], groups(GROUPS), groups(OPEN))
@@ -538,27 +642,43 @@ def learn(texts: DataFrame, counts: DataFrame, path: str, top_words: int = 250_0
     prior = np.bincount(lex.describe(encode)[0], freq, CLASSES) + 1.0
     prior[DIRECT + GROUPS :] += of_open
     w = new_weights(np.log(prior / prior.sum()))
-    if not len(sample):
-        return w, lex, of_open, once
-    samples = [Sample(sample.slice(i, 50), lex, encode) for i in range(0, len(sample), 50)]
-    w = fit(w, samples, warm_steps, 0.02)
+    squares = {k: np.ones_like(v) for k, v in w.items()}
+    if len(sample):
+        w, squares = fit(w, [Sample(sample.slice(i, 50), lex, encode) for i in range(0, len(sample), 50)], warm_steps, 0.02)
+    curve = np.zeros(SUMS - (HIDDEN + 1) * CLASSES)
+    for r in range(rounds):
+        sums, below = _round(texts.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(rounds)) == r), lex, w)
+        curve += sums[(HIDDEN + 1) * CLASSES :]
+        so_far = np.concatenate([sums[: (HIDDEN + 1) * CLASSES], curve])
+        tokens = sums[SUMS - CLASSES - 1]
+        w = lowered(stepped(w, trusted(newton(w, so_far), so_far), 1.0), below, squares, tokens, rate / math.sqrt(r + 1))
+    return w, lex, of_open, once
+
+
+def _round(texts: DataFrame, lex: Lexicon, w: dict) -> tuple[np.ndarray, dict]:
+    """The sums of :func:`output_sums` over all windows of ``texts(text)``, and those for the weights below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = worker_table(lex, w), np.zeros(SUMS)
+        below = {k: np.zeros(v) for k, v in BELOW.items()}
         for b in slices(batches, 0):
             words, size = tokenize(b.column(0))
             token, distinct = with_ends(words, size)
             row = own.rows(distinct)
             e = np.concatenate([own.e[row], np.zeros((1, DIM), "f4")])
-            total += output_sums(w, e, np.append(own.cls[row], 0), Windows(token, size + 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUMS)), pa.array(total)], ["i", "s"])
+            below["rows"] = np.zeros((len(row), DIM))
+            total += output_sums(w, e, np.append(own.cls[row], 0), Windows(token, size + 1), below=below)
+            E, end = to_slots(below.pop("rows"), *unlisted(own.slots.take(pa.array(row))))
+            below["E"] += E
+            below["end"] += end
+        flat = np.concatenate([total, *[below[k].ravel() for k in BELOW]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ALL_SUMS)), pa.array(flat)], ["i", "s"])
 
     found = texts.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
-    sums = np.zeros(SUMS)
+    sums = np.zeros(ALL_SUMS)
     sums[found.column("i").to_numpy()] = found.column("s").to_numpy()
-    step = newton(w, sums)
-    loss = lambda w: float(np.average([b.loss(w) for b in samples], weights=[len(b.win.token) for b in samples]))
-    return min((stepped(w, step, r) for r in (1.0, 0.5, 0.2, 0.05, 0.0)), key=loss), lex, of_open, once
+    parts = np.split(sums[SUMS:], np.cumsum([math.prod(v) for v in BELOW.values()])[:-1])
+    return sums[:SUMS], {k: x.reshape(BELOW[k]) for k, x in zip(BELOW, parts)}
 
 
 def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
