@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from vecspark.llm import simhash
+from vecspark.llm import similar, simhash
 
 
 def grams(text):
@@ -61,6 +61,26 @@ def test_large_groups_and_common_passages(spark):
         assert sorted(r["doc_id"] for r in simhash.deduplicated(df, small=small, similarity=0.8).collect()) == brute(rows), small
 
 
+def test_texts_that_cannot_be_similar_are_not_paired(spark, monkeypatch):
+    """A group that shares most shingles, where too little is left behind the own ones for any pair: no row of a join."""
+    rng, rows, met, plain = random.Random(6), [], [], similar.cut
+    for i in range(300):
+        words = [f"g{j}" for j in range(150)]
+        for at in (10, 40, 70, 100, 130):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+
+    def cut(df, name):
+        out = plain(df, name)
+        if name == "pairs":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "cut", cut)
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).count()
+    assert kept == len(brute(rows)) and met == [0]
+
+
 def test_edges(spark, edge_docs):
     kept = simhash.deduplicated(edge_docs, similarity=0.8)
     assert kept.columns == edge_docs.columns and 0 < kept.count() < edge_docs.count()

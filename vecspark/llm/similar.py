@@ -2,7 +2,9 @@
 
 A text is the set of the 64-bit hashes of its word shingles; equal sets are one node. Under any order of all shingles,
 two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each (prefix filtering), so the
-join on those loses no pair, and every pair it finds is verified on the whole sets, unless the
+join on those loses no pair. At the first shingle that two sets share, what stands before it is in one set only, so a pair
+is taken from a bucket only where enough of both sets is left for the overlap that this similarity of their sizes needs
+(positional filtering); every similar pair passes there. What is found is verified on the whole sets, unless the
 prefixes share too few shingles for the rest of the sets to make up. The order puts frequent shingles
 last; they are told by a sample, which decides how fast the join is and never what it finds.
 
@@ -105,10 +107,21 @@ def _fits(similarity: float):
     return F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
 
 
+def _needed(similarity: float):
+    """The least overlap of similar sets of n and m."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9)
+
+
+def _left(similarity: float):
+    """Whether sets of n and m, from a shared shingle at i and j on, can hold the overlap: true of the first one that
+    similar sets share."""
+    return F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _needed(similarity)
+
+
 def links(rows: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, similarity: float, small: int, proposed: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` of ``rows(node, n, prefix)``; their components are those of all similar pairs. The pairs
     ``proposed(u, v)`` are verified first."""
-    keyed = rows.select("node", "n", F.explode("prefix").alias("token"))
+    keyed = rows.select("node", "n", F.posexplode("prefix").alias("i", "token"))
     done = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -118,7 +131,7 @@ def links(rows: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, simila
     met = keyed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("token", "least")
     shared = kept(keyed.join(met, "token").distinct(), "shared")
     shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("held")), "token")
-    other = lambda d, *more: d.select("token", F.col("node").alias("v"), F.col("n").alias("m"), *more)
+    other = lambda d, *more: d.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), *more)
     heads = shared.where("node = least").select("token", F.col("node").alias("u"), "n")
     starred = kept(heads.join(other(shared), "token").where("u <> v").where(_fits(similarity)).select("u", "v").distinct(), "stars")
     # one candidate a set first, and what was proposed: most of the others are of one component then
@@ -129,20 +142,23 @@ def links(rows: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, simila
     apart = starred.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
     found = found.unionByName(_verified(kept(apart.select("u", "v"), "candidates"), texts, size, similarity))
     joined = components(found).withColumnRenamed("component", "c")
-    shared = kept(shared.join(joined, "node", "left").select("token", "node", "n", "held", F.coalesce("c", "node").alias("c")), "labelled")
+    shared = kept(shared.join(joined, "node", "left").select("token", "node", "n", "i", "held", F.coalesce("c", "node").alias("c")), "labelled")
     few, many = shared.where(F.col("held") <= small), shared.where(F.col("held") > small)
-    own = few.select("token", F.col("node").alias("u"), "n", F.col("c").alias("d"))
-    pairs = own.join(other(few, "c"), "token").where("u < v and c <> d").where(_fits(similarity)).select("u", "v", "n", "m")
+    own = few.select("token", F.col("node").alias("u"), "n", "i", F.col("c").alias("d"))
+    pairs = own.join(other(few, "c"), "token").where("u < v and c <> d").where(_fits(similarity) & _left(similarity)).select("u", "v", "n", "m")
     share = many.groupBy("token", "c").agg(F.count("*").alias("k"))
     main = share.groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
-    apart = many.join(main, "token").where("c <> main").select("token", F.col("node").alias("u"), "n", F.col("c").alias("d"), "main")
-    rest = apart.join(other(many, "c"), "token").where("c <> d and (c = main or u < v)").where(_fits(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "n", "m")
-    # a row is a shingle that both prefixes hold. Of the two prefixes take the one that ends first in the order: what the
-    # sets share up to there is in both, and behind it that set has n - prefix more
+    apart = many.join(main, "token").where("c <> main").select("token", F.col("node").alias("u"), "n", "i", F.col("c").alias("d"), "main")
+    rest = apart.join(other(many, "c"), "token").where("c <> d and (c = main or u < v)").where(_fits(similarity) & _left(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "n", "m")
+    apart = kept(pairs.unionByName(rest).groupBy("u", "v").agg(F.min("n").alias("n"), F.min("m").alias("m")), "pairs")
+    # Of the two prefixes take the one that ends first in the order: what the sets share up to there is in both, and behind
+    # it that set has n - prefix more
     behind = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
-    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9)
-    counted = pairs.unionByName(rest).groupBy("u", "v").agg(F.count("*").alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
-    enough = counted.where(F.col("both") + F.greatest(behind("n"), behind("m")) >= needed).select("u", "v")
+    ends = apart.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    begins = rows.join(ends, "node").groupBy("node").agg(F.first("prefix").alias("p"))  # equal for all rows of a set
+    both = apart.join(begins.select(F.col("node").alias("u"), F.col("p").alias("a")), "u").join(begins.select(F.col("node").alias("v"), F.col("p").alias("b")), "v")
+    counted = both.withColumn("both", F.size(F.array_intersect("a", "b")))
+    enough = counted.where(F.col("both") + F.greatest(behind("n"), behind("m")) >= _needed(similarity)).select("u", "v")
     found = found.unionByName(_verified(kept(enough, "candidates"), texts, size, similarity))
     for t in done:
         drop(t)
