@@ -56,3 +56,26 @@ def test_edges(spark, edge_docs):
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     assert got(suffixes.remove_repeats(edge_docs)) == sorted(brute(rows, 100), key=str)
     assert suffixes.remove_repeats(edge_docs.limit(0)).count() == 0
+
+
+def test_scan_holds_little_memory_and_long_texts_are_cut(spark):
+    """Ranks of a scan take a multiple of its slice; slices of several MB filled an executor's memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdef ghij\n", k=6_000_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], ["doc", "text"])
+    suffixes._powers.clear()
+    tracemalloc.start()
+    try:
+        runs = sum(b.num_rows for b in suffixes._scan(100)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert runs > 6_000_000 // 69 and peak < 150
+    shared = text[:700_000]  # longer than a part
+    docs = [(1, shared), (2, "x" + shared), (3, text[600_000:900_000])]
+    left = {r[0]: r[2] for r in got(suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert left == {1: 0, 2: 700_000, 3: 100_000}

@@ -32,7 +32,7 @@ from .tables import column, cut, drop, small_batches
 
 GRAM = 32
 PLACE = 24  # bits of a window's place in a slice; slices are far below 2**24 bytes
-SLICE = 4_000_000
+SLICE = 1_000_000  # a scan holds some 150 bytes for each of its bytes
 DIST = 10  # bits of a distance between a window and its anchor
 
 _rng = np.random.default_rng(20240131)
@@ -184,7 +184,7 @@ def _narrow(spans: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in (whole.slice(i, 8192) for i in range(0, whole.num_rows, 8192)):
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
                 ctx = b.column(2).to_pylist()
                 begin = np.cumsum([0, *map(len, ctx)])[:-1]
                 data = np.frombuffer(b"".join(ctx), "u1")
