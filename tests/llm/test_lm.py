@@ -216,3 +216,34 @@ def test_gradient_by_differences(model):
             down[k][at] -= 1e-5
             slope = (lm.gradient(up, b, pick)[0] - lm.gradient(down, b, pick)[0]) / 2e-5
             assert g[k][at] == pytest.approx(slope, abs=2e-4), k
+
+
+def _peak(run):
+    """MB that a call takes at its peak above what there was before."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_many_words_is_bounded():
+    """Ids of many words in Python lists, and slots' gradients of all columns at once, filled an executor's memory."""
+    rng = np.random.default_rng(3)
+    words = pa.array([b"" if i % 1000 == 0 else b"word%d" % i for i in range(60_000)], pa.binary())
+    encode = lm._encoder(ranks_path())
+    ids, n = lm.subwords(encode, words)
+    apart = [lm.subwords(encode, words.slice(i, 1)) for i in range(0, 20_000, 499)]
+    begin = np.cumsum(n) - n
+    assert all(i.tolist() == ids[begin[k] : begin[k] + n[k]].tolist() for k, (i, _) in zip(range(0, 20_000, 499), apart))
+    assert n[0] == 0 and (n[1:1000] > 0).all() and lm.subwords(encode, words.slice(0, 0))[0].dtype == ids.dtype
+    assert _peak(lambda: lm.subwords(encode, words)) < 8
+    rows, slots = rng.normal(size=(len(n), lm.DIM)), ids % lm.SPELT
+    E, end = lm.to_slots(rows, slots, n)
+    want = np.zeros((lm.SPELT + 1, lm.DIM))
+    np.add.at(want, slots, np.repeat(rows / np.maximum(n, 1)[:, None], n, axis=0))
+    assert np.allclose(E, want) and np.allclose(end, rows[n == 0].sum(axis=0))
+    assert _peak(lambda: lm.to_slots(rows, slots, n)) < 8

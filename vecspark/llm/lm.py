@@ -74,11 +74,16 @@ def _encoder(path: str):
 
 
 @acyclic
-def subwords(encode, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Subword ids of words behind a blank, one after the other, and how many each has; an empty word (an end) has none."""
-    texts = words.cast(pa.string())
-    ids = [encode(" " + w) if w else [] for w in texts.to_pylist()]
-    return np.array([i for x in ids for i in x], "i8"), np.array([len(x) for x in ids], "i8")
+def subwords(encode, words: pa.Array, part: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of words behind a blank, one after the other, and how many each has; an empty word (an end) has none.
+
+    ``part`` words are encoded at a time, as ids in Python lists take some ten times the memory of an array."""
+    flat, sizes = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+    for i in range(0, len(words), part):
+        ids = [encode(" " + w) if w else [] for w in words.slice(i, part).cast(pa.string()).to_pylist()]
+        flat.append(np.array([i for x in ids for i in x], "i8"))
+        sizes.append(np.array([len(x) for x in ids], "i8"))
+    return np.concatenate(flat), np.concatenate(sizes)
 
 
 class Lexicon:
@@ -306,14 +311,16 @@ def backward(w: dict, e: np.ndarray, x: np.ndarray, z: np.ndarray, cache: tuple,
 
 def spread(at: np.ndarray, de: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows ``de`` by their numbers ``at``, -1: none."""
-    at, de = np.where(at < 0, n, at).ravel(), np.ascontiguousarray(de.T)
-    return np.stack([np.bincount(at, d, n + 1) for d in de], axis=1)[:-1]
+    at, out = np.where(at < 0, n, at).ravel(), np.empty((n, de.shape[1]))
+    for j in range(de.shape[1]):
+        out[:, j] = np.bincount(at, de[:, j], n + 1)[:-1]
+    return out
 
 
 def to_slots(rows: np.ndarray, slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The gradients of E and of the end from those of words with these slots."""
-    each = np.repeat(rows / np.maximum(n, 1)[:, None], n, axis=0)
-    return np.stack([np.bincount(slots, each[:, j], SPELT + 1) for j in range(DIM)], axis=1), rows[n == 0].sum(axis=0)
+    each = [np.bincount(slots, np.repeat(rows[:, j] / np.maximum(n, 1), n), SPELT + 1) for j in range(DIM)]  # a column at a time
+    return np.stack(each, axis=1), rows[n == 0].sum(axis=0)
 
 
 def odds(w: dict, z: np.ndarray) -> np.ndarray:
