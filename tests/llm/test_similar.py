@@ -81,6 +81,23 @@ def test_texts_that_cannot_be_similar_are_not_paired(spark, monkeypatch):
     assert kept == len(brute(rows)) and met == [0]
 
 
+def test_near_copies_of_one_text_are_joined_by_it(spark, monkeypatch):
+    """Most near copies of a text are not similar to each other; once all have met it, no pair of them is listed."""
+    rng, met, plain = random.Random(7), [], similar.cut
+    base = [f"g{j}" for j in range(150)]
+    rows = [(i, changed(rng, base, 2)) for i in range(300)] + [(300, " ".join(base))]
+
+    def cut(df, name):
+        out = plain(df, name)
+        if name == "pairs":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "cut", cut)
+    kept = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()]
+    assert kept == brute(rows) == [0] and met == [0]
+
+
 def test_edges(spark, edge_docs):
     kept = simhash.deduplicated(edge_docs, similarity=0.8)
     assert kept.columns == edge_docs.columns and 0 < kept.count() < edge_docs.count()

@@ -8,7 +8,9 @@ is taken from a bucket only where enough of both sets is left for the overlap th
 prefixes share too few shingles for the rest of the sets to make up. The order puts frequent shingles
 last; they are told by a sample, which decides how fast the join is and never what it finds.
 
-In each bucket the sets first meet the least one, in two steps. Then buckets of up to ``small`` sets are joined with themselves, and
+In each bucket the sets first meet two of it, in two steps: the least one, and the first one, which has the fewest shingles
+before the bucket's and so is nearest to what the bucket shares. Where a group of near copies holds a text that its others
+are similar to, that one joins them at once. Then buckets of up to ``small`` sets are joined with themselves, and
 in larger ones the sets outside the bucket's main component meet all others; pairs of one component, which cannot
 change it, are all that is left out, so a huge group of near copies stays linear. Pairs that fingerprints propose are
 verified first, and what they link need not be compared again.
@@ -128,14 +130,16 @@ def links(rows: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, simila
         done.append(cut(df, name))
         return done[-1]
 
-    met = keyed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("token", "least")
+    first = F.min(F.struct("i", "node"))["node"].alias("first")
+    met = keyed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last"), first).where("least <> last").select("token", "least", "first")
     shared = kept(keyed.join(met, "token").distinct(), "shared")
     shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("held")), "token")
     other = lambda d, *more: d.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), *more)
-    heads = shared.where("node = least").select("token", F.col("node").alias("u"), "n")
-    starred = kept(heads.join(other(shared), "token").where("u <> v").where(_fits(similarity)).select("u", "v").distinct(), "stars")
-    # one candidate a set first, and what was proposed: most of the others are of one component then
-    one = starred.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    heads = shared.where("node = least or node = first").select("token", F.col("node").alias("u"), "n", "i")
+    spare = (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - _needed(similarity)).alias("spare")
+    starred = kept(heads.join(other(shared), "token").where("u <> v").where(_fits(similarity)).select("u", "v", spare).groupBy("u", "v").agg(F.max("spare").alias("spare")), "stars")
+    # one candidate a set first, the one with most to spare, and what was proposed: most of the others are of one component then
+    one = starred.groupBy("v").agg(F.max(F.struct("spare", "u"))["u"].alias("u")).select("u", "v")
     found = _verified(kept(one.unionByName(proposed).distinct(), "candidates"), texts, size, similarity)
     joined = kept(components(found), "joined")
     of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
