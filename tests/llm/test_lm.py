@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -247,3 +248,27 @@ def test_memory_of_many_words_is_bounded():
     np.add.at(want, slots, np.repeat(rows / np.maximum(n, 1)[:, None], n, axis=0))
     assert np.allclose(E, want) and np.allclose(end, rows[n == 0].sum(axis=0))
     assert _peak(lambda: lm.to_slots(rows, slots, n)) < 8
+
+
+def test_words_take_bounded_memory(spark):
+    """Means of many words are taken in parts, and words that do not come again are forgotten."""
+    rng = np.random.default_rng(1)
+    w = lm.new_weights(np.zeros(lm.CLASSES))
+    n = rng.integers(0, 9, 200_000)
+    slots = rng.integers(0, lm.SPELT, n.sum())
+    tracemalloc.start()
+    got = lm.mean_embeddings(w, slots, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * got.nbytes
+    ends = np.cumsum(n)
+    for i in [*range(40), *range(16_350, 16_420), *range(199_960, 200_000)]:
+        assert got[i] == pytest.approx(w["E"][slots[ends[i] - n[i] : ends[i]]].mean(axis=0) if n[i] else w["end"], abs=1e-5)
+    size = max(lm.load_ranks(ranks_path()).values()) + 1
+    wide = lm.SPELT + 2
+    lex = lm.Lexicon(ranks_path(), pa.array([b"", b"the"], pa.binary()), np.array([5, 9]), np.arange(lm.SPELT), np.ones((wide, wide)), np.ones(size), np.arange(size) % lm.GROUPS, np.arange(size) % lm.OPEN)
+    own = lm.Table(lex, w)
+    for i in range(4):
+        words = pa.array([b"the", *(b"w%d" % (30_000 * i + j) for j in range(30_000))], pa.binary())
+        row = own.rows(words)
+        assert own.words.take(pa.array(row)).equals(words) and len(own.used) <= own.frequent + 50_000

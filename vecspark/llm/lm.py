@@ -23,6 +23,7 @@ with the tasks; words outside the frequent ones meet their counts in a shuffle j
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections.abc import Iterator
@@ -141,9 +142,10 @@ def unlisted(of: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """A worker's rows of words: frequent ones for good, others as long as they are met. Row -1 stands for no word."""
+    """A worker's rows of words: frequent ones for good, others as long as they are met and ``limit`` rows hold them, as
+    hardly any of them comes again soon. Row -1 stands for no word."""
 
-    def __init__(self, lex: Lexicon, w: dict, limit: int = 300_000):
+    def __init__(self, lex: Lexicon, w: dict, limit: int = 20_000):
         self.lex, self.w, self.limit, self.encode = lex, w, limit, _encoder(lex.path)
         cls, lp, slots, n = lex.describe(self.encode)
         self.frequent = len(cls)
@@ -184,11 +186,15 @@ class Table:
         return row
 
 
-def mean_embeddings(w: dict, slots: np.ndarray, n: np.ndarray) -> np.ndarray:
+def mean_embeddings(w: dict, slots: np.ndarray, n: np.ndarray, part: int = 16384) -> np.ndarray:
+    """Of words with these slots; ``part`` words at a time, as the rows of all slots take some three times the result."""
     out = np.zeros((len(n), DIM), w["E"].dtype)
-    some = np.flatnonzero(n)
-    if len(some):
-        out[some] = np.add.reduceat(w["E"][slots], (np.cumsum(n) - n)[some], axis=0) / n[some, None]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    for i in range(0, len(n), part):
+        own, first = n[i : i + part], begin[i : i + part + 1]
+        some = np.flatnonzero(own)
+        if len(some):
+            out[i + some] = np.add.reduceat(w["E"][slots[first[0] : first[-1]]], first[some] - first[0], axis=0) / own[some, None]
     out[n == 0] = w["end"]
     return out
 
@@ -485,14 +491,22 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``most`` bytes in the string column ``at``, or one row."""
+def _freed() -> None:
+    """Give back to the system what Arrow and the C library keep of freed memory, where they can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most`` bytes in the string column ``at``, or one row. What a slice took is freed behind it."""
     for b in batches:
         ends, i = np.cumsum(pa.compute.binary_length(b.column(at)).to_numpy()), 0
         while i < len(ends):
             upto = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
             yield b.slice(i, upto - i)
             i = upto
+            _freed()
 
 
 def count_words(texts: DataFrame) -> DataFrame:
