@@ -272,3 +272,10 @@ def test_words_take_bounded_memory(spark):
         words = pa.array([b"the", *(b"w%d" % (30_000 * i + j) for j in range(30_000))], pa.binary())
         row = own.rows(words)
         assert own.words.take(pa.array(row)).equals(words) and len(own.used) <= own.frequent + 50_000
+
+
+def test_places_of_words():
+    known = pa.array([b"", b"the", b"of", "é".encode()], pa.binary())
+    for words, want in (([b"of", b"x", b"", "é".encode()], [2, -1, 0, 3]), ([b""], [0]), ([b"y"], [-1]), ([], [])):
+        assert lm.places(pa.array(words, pa.binary()), known).tolist() == want
+    assert lm.places(pa.array([b"a"], pa.binary()), known.slice(0, 0)).tolist() == [-1]

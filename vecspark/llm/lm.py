@@ -141,6 +141,15 @@ def unlisted(of: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return of.flatten().to_numpy().astype("i4"), of.value_lengths().to_numpy().astype("i8")
 
 
+def places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where distinct ``words`` stand among ``known`` (distinct too), -1: nowhere. The hash table is that of ``words``, as
+    one of all that is known would take most of the time."""
+    at = pa.compute.index_in(known, value_set=words)
+    row = np.full(len(words), -1)
+    row[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return row
+
+
 class Table:
     """A worker's rows of words: frequent ones for good, others as long as they are met and ``limit`` rows hold them, as
     hardly any of them comes again soon. Row -1 stands for no word."""
@@ -169,19 +178,17 @@ class Table:
             self.words, self.cls, self.lp, self.e = self.words.filter(pa.array(keep)), self.cls[keep], self.lp[keep], self.e[keep]
             self.slots = self.slots.filter(pa.array(keep))
             self.used = np.arange(len(self.cls)) < self.frequent
-        at = pa.compute.index_in(words, value_set=self.words)
-        new = at.is_null().to_numpy(zero_copy_only=False)
+        row = places(words, self.words)
+        new = row < 0
         if new.any():
             fresh = words.filter(pa.array(new))
-            row = np.where(new, len(self.cls) + np.cumsum(new) - 1, at.fill_null(0).to_numpy())
+            row = np.where(new, len(self.cls) + np.cumsum(new) - 1, row)
             cls, lp, slots, n = self.lex.spelling(self.encode, fresh)
             self.words = pa.concat_arrays([self.words, fresh])
             self.cls, self.lp = np.concatenate([self.cls, cls]), np.concatenate([self.lp, lp])
             self.e = np.concatenate([self.e, mean_embeddings(self.w, slots, n)])
             self.slots = pa.concat_arrays([self.slots, lists(slots, n)])
             self.used = np.concatenate([self.used, np.zeros(len(cls), bool)])
-        else:
-            row = at.to_numpy()
         self.used[row] = True
         return row
 
@@ -498,7 +505,7 @@ def _freed() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` bytes in the string column ``at``, or one row. What a slice took is freed behind it."""
     for b in batches:
         ends, i = np.cumsum(pa.compute.binary_length(b.column(at)).to_numpy()), 0
@@ -601,7 +608,8 @@ def _company(texts: DataFrame, lex_words: pa.Array, first: np.ndarray, ids: int)
         for b in slices(batches, 0):
             words, size = tokenize(b.column(0))
             token, own = with_ends(words, size)
-            row = pa.compute.index_in(own, value_set=lex_words).fill_null(len(first)).to_numpy()
+            row = places(own, lex_words)
+            row[row < 0] = len(first)
             col, key = np.where(row < min(DIRECT, len(first)), row, DIRECT).astype("i4")[token], of[row].astype("i4")[token]
             ends = np.concatenate([[0], np.cumsum(size + 1)])
             for i in range(0, len(size), 64):
