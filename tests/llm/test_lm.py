@@ -279,3 +279,37 @@ def test_places_of_words():
     for words, want in (([b"of", b"x", b"", "é".encode()], [2, -1, 0, 3]), ([b""], [0]), ([b"y"], [-1]), ([], [])):
         assert lm.places(pa.array(words, pa.binary()), known).tolist() == want
     assert lm.places(pa.array([b"a"], pa.binary()), known.slice(0, 0)).tolist() == [-1]
+
+
+def test_words_are_encoded_together():
+    """A call for each word took most of an encoder's time. White space of other kinds keeps the ids of a word alone."""
+    odd = ["x ", " y", " ", "a　b", "", "\u0085z", " ", "  "]
+    words = ["plain", *odd, "é", "\x1c", "p\x1fq", "'s", "12ab--", "日本", "x" * 2000, *odd, "ß", *(f"word{i}é" if i % 9 else f"w{i}" for i in range(500))]
+    encode, calls = lm._encoder(ranks_path()), []
+    alone = [encode(" " + w) if w else [] for w in words]
+    one = encode.encode
+    encode.encode = lambda text: calls.append(text) or one(text)
+    for part in (3, 7, 8192):
+        ids, n = lm.subwords(encode, pa.array([w.encode() for w in words], pa.binary()), part)
+        assert n.tolist() == [len(x) for x in alone] and ids.tolist() == [i for x in alone for i in x]
+    calls.clear()
+    lm.subwords(encode, pa.array([b"w%d" % i for i in range(5000)], pa.binary()))
+    assert len(calls) == 1
+
+
+def test_products_in_parts(model):
+    """Products of long arrays, taken in parts, and gradients that windows pass to the ones before, in any chunks."""
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 127, 128, 300):
+        x, y, m = rng.normal(size=(n, 35))[:, :33], rng.normal(size=(n, 7)), rng.normal(size=(33, 5))
+        assert np.allclose(lm.times(x, m), x @ m) and np.allclose(lm.summed(x, y), x.T @ y)
+    w, lex, *_ = model
+    found = []
+    _, e, cls, win = of(w, lex, ["the cat1 sat on zebra " * 60, "", "dog2 ran " * 90, "the mat"])
+    for chunk in (1, 3, 64):
+        below = {k: np.zeros(v) for k, v in lm.BELOW.items()} | {"rows": np.zeros(e.shape)}
+        found.append((lm.output_sums(w, e, cls, win, chunk, below), below))
+    for sums, below in found[1:]:
+        assert sums == pytest.approx(found[0][0], rel=1e-3, abs=1e-3)
+        assert all(np.allclose(below[k], found[0][1][k], rtol=1e-3, atol=1e-3) for k in below)
+    assert not found[0][1]["rows"][-1].any()

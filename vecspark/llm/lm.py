@@ -68,22 +68,49 @@ def tokenize(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.diff(np.searchsorted(starts, at))
 
 
-def _encoder(path: str):
-    import tiktoken
+class Encoder:
+    """Subword ids of a text, by the ranks in ``path``. ``begins``: of each id, whether it starts with a blank."""
 
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+    def __init__(self, path: str):
+        import tiktoken
+
+        ranks = load_ranks(path)
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.begins = np.zeros(max(ranks.values()) + 1, bool)
+        self.begins[[i for b, i in ranks.items() if b[:1] == b" "]] = True
+
+    def __call__(self, text: str) -> list[int]:
+        return self.encode(text)
+
+
+_encoder = Encoder
 
 
 @acyclic
 def subwords(encode, words: pa.Array, part: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of words behind a blank, one after the other, and how many each has; an empty word (an end) has none.
 
-    ``part`` words are encoded at a time, as ids in Python lists take some ten times the memory of an array."""
+    ``part`` words are encoded at a time, as ids in Python lists take some ten times the memory of an array. They go as
+    one text, whose pieces end before each blank; a word that holds white space of other kinds (or nothing) goes alone,
+    as the pattern may take such a space together with the blank behind it."""
     flat, sizes = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     for i in range(0, len(words), part):
-        ids = [encode(" " + w) if w else [] for w in words.slice(i, part).cast(pa.string()).to_pylist()]
-        flat.append(np.array([i for x in ids for i in x], "i8"))
-        sizes.append(np.array([len(x) for x in ids], "i8"))
+        own = words.slice(i, part).cast(pa.string())
+        plain = pa.compute.string_is_ascii(own).to_numpy(zero_copy_only=False) & (pa.compute.binary_length(own).to_numpy() > 0)
+        for j in np.flatnonzero(~plain).tolist():
+            plain[j] = (w := own[j].as_py()).split() == [w]
+        some = own if plain.all() else own.filter(pa.array(plain))
+        text = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], "i4"), some), " ")[0].as_py()
+        ids, n = np.array(encode(" " + text) if text else [], "i8"), np.zeros(len(own), "i8")
+        n[plain] = np.diff(np.flatnonzero(encode.begins[ids]), append=len(ids))
+        if len(some) < len(own):
+            alone = [encode(" " + w) if w else [] for w in own.filter(pa.array(~plain)).to_pylist()]
+            n[~plain] = [len(x) for x in alone]
+            whole, of_plain = np.empty(int(n.sum()), "i8"), np.repeat(plain, n)
+            whole[of_plain], whole[~of_plain] = ids, [k for x in alone for k in x]
+            ids = whole
+        flat.append(ids)
+        sizes.append(n)
     return np.concatenate(flat), np.concatenate(sizes)
 
 
@@ -171,12 +198,10 @@ class Table:
     def rows(self, words: pa.Array) -> np.ndarray:
         """The rows of distinct words, which are learnt if need be."""
         if len(self.used) > self.limit + self.frequent:  # what nothing since the last time has used is forgotten
-            self.used[: self.frequent] = True
-            if self.used.sum() > self.limit + self.frequent:
-                self.used[self.frequent :] = False
-            keep = self.used
-            self.words, self.cls, self.lp, self.e = self.words.filter(pa.array(keep)), self.cls[keep], self.lp[keep], self.e[keep]
-            self.slots = self.slots.filter(pa.array(keep))
+            keep = self.used[self.frequent :] & (self.used[self.frequent :].sum() <= self.limit)
+            few = lambda of: np.concatenate([of[: self.frequent], of[self.frequent :][keep]])
+            listed = lambda of: pa.concat_arrays([of.slice(0, self.frequent), of.slice(self.frequent).filter(pa.array(keep))])
+            self.words, self.slots, self.cls, self.lp, self.e = listed(self.words), listed(self.slots), few(self.cls), few(self.lp), few(self.e)
             self.used = np.arange(len(self.cls)) < self.frequent
         row = places(words, self.words)
         new = row < 0
@@ -265,80 +290,99 @@ def new_weights(prior: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
 _causal = np.where(np.arange(SPAN + CONTEXT)[None, :] <= np.arange(SPAN)[:, None] + CONTEXT, 0, -1e9).astype("f4")
 
 
-def inputs(w: dict, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows of ``e``: queries, and keys, values and a one side by side."""
-    return e @ (w["q"] * np.float32(DIM**-0.5)), np.concatenate([e @ w["k"], e @ w["v"], np.ones((len(e), 1), e.dtype)], axis=1)
+def times(x: np.ndarray, y: np.ndarray, rows: int = 128) -> np.ndarray:
+    """x @ y, for a long x and a small y; parts of so few rows need no packing, which takes a third of the time."""
+    n, out = len(x) // rows * rows, np.empty((len(x), y.shape[1]), x.dtype)
+    np.matmul(x[:n].reshape(-1, rows, x.shape[1]), y, out=out[:n].reshape(-1, rows, y.shape[1]))
+    np.matmul(x[n:], y, out=out[n:])
+    return out
+
+
+def summed(x: np.ndarray, y: np.ndarray, rows: int = 128) -> np.ndarray:
+    """x.T @ y, for a long x and y, likewise."""
+    n = len(x) // rows * rows
+    parts = x[:n].reshape(-1, rows, x.shape[1]).transpose(0, 2, 1) @ y[:n].reshape(-1, rows, y.shape[1])
+    return parts.sum(axis=0) + x[n:].T @ y[n:]
+
+
+def inputs(w: dict, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Of the rows of ``e``: queries; keys, values and a one side by side; what the layer behind attention takes, without
+    what attention adds; and whether a score may be too great for its exponential."""
+    one = np.ones((len(e), 1), e.dtype)
+    q, k = e @ (w["q"] * np.float32(DIM**-0.5)), e @ w["k"]
+    most = math.sqrt(float((q * q).sum(axis=1).max(initial=0)) * float((k * k).sum(axis=1).max(initial=0))) + float(w["place"].max())
+    return q, np.concatenate([k, e @ w["v"], one], axis=1), np.concatenate([e, np.zeros_like(e), one], axis=1), not most < 59
 
 
 def forward(w: dict, e: np.ndarray, x: np.ndarray, known: tuple | None = None) -> tuple:
     """Hidden states (windows * SPAN, HIDDEN, and a one) that predict the classes behind the last SPAN tokens of ``x``,
     numbers of rows of ``e``, whose last row is for -1. ``known``: the inputs of ``e``, if they are known."""
-    n = len(x)
-    queries, kv = known or inputs(w, e)
-    own, q, kv = e.take(x[:, CONTEXT:], axis=0), queries.take(x[:, CONTEXT:], axis=0), kv.take(x, axis=0)
+    queries, kv, both, great = known or inputs(w, e)
+    q, both, kv = queries.take(x[:, CONTEXT:], axis=0), both.take(x[:, CONTEXT:], axis=0), kv.take(x, axis=0)
     s = q @ kv[..., :DIM].transpose(0, 2, 1)
     s += w["place"] + _causal
     s[x[:, CONTEXT - 1] < 0, :, :CONTEXT] = -1e9  # a first window has no context
-    if s.max(initial=0) > 60:
+    if great:
         np.minimum(s, np.float32(60), out=s)
     np.exp(s, out=s)  # scores are bounded above, and a token always sees itself
     mixed = s @ kv[..., DIM:]
-    total = mixed[..., DIM:] + np.float32(1e-30)
-    both = np.empty((n, SPAN, 2 * DIM + 1), s.dtype)
-    both[..., :DIM], both[..., -1] = own, 1
+    total = mixed[..., DIM:]
+    total += np.float32(1e-30)
     np.divide(mixed[..., :DIM], total, out=both[..., DIM:-1])
-    both = both.reshape(n * SPAN, 2 * DIM + 1)
     layer = np.zeros((2 * DIM + 1, HIDDEN + 1), s.dtype)
     layer[:-1, :-1], layer[-1, :-1], layer[-1, -1] = w["a"], w["a0"], 1
-    z = both @ layer
+    z = times(both.reshape(-1, 2 * DIM + 1), layer)
     np.maximum(z, 0, out=z)
-    return z, (own, q, kv, s, total, both)
-
-
-def backward(w: dict, e: np.ndarray, x: np.ndarray, z: np.ndarray, cache: tuple, p: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Gradients of all weights below the output layer, and of the rows of ``e`` at ``x``, from those of the classes'
-    logits. ``cache`` is used up."""
-    own, q, kv, s, total, both = cache
-    n = len(x)
-    s /= total
-    dz = p @ w["b"].T
-    dz *= z[:, :-1] > 0
-    layer = both.T @ dz
-    g = {"a": layer[:-1], "a0": layer[-1]}
-    dboth = (dz @ w["a"].T).reshape(n, SPAN, 2 * DIM)
-    dmixed = dboth[..., DIM:]
-    ds = dmixed @ kv[..., DIM:-1].transpose(0, 2, 1)
-    ds -= (dmixed * both.reshape(n, SPAN, -1)[..., DIM:-1]).sum(axis=-1, keepdims=True)
+    return z, (q, kv, s, total, both)
+
+
+def backward(w: dict, cache: tuple, dz: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """From the gradients of the hidden states (without the one, before their bound): those of the layer and of the
+    places; at each token of a window, of its key, value and query (a query for the last SPAN only); and of the rows of
+    the last SPAN, as far as they enter the layer by themselves. ``cache``: what :func:`forward` left."""
+    q, kv, s, total, both = cache
+    n = len(q)
+    layer = summed(both.reshape(-1, 2 * DIM + 1), dz)
+    dboth = times(dz, np.ascontiguousarray(w["a"].T)).reshape(n, SPAN, 2 * DIM)
+    dmixed = np.empty((n, SPAN, DIM + 1), dz.dtype)
+    np.divide(dboth[..., DIM:], total, out=dmixed[..., :-1])
+    np.einsum("wsd,wsd->ws", dmixed[..., :-1], both[..., DIM:-1], out=dmixed[..., -1])
+    np.negative(dmixed[..., -1], out=dmixed[..., -1])
+    ds = dmixed @ kv[..., DIM:].transpose(0, 2, 1)
     ds *= s
-    g["place"] = ds.sum(axis=0)
-    dq = ds @ kv[..., :DIM]
-    dq *= p.dtype.type(DIM**-0.5)
-    dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dmixed], axis=-1)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g["q"], both_ways = flat(own).T @ flat(dq), flat(e.take(x, axis=0)).T @ flat(dkv)
-    g["k"], g["v"] = both_ways[:, :DIM], both_ways[:, DIM:]
-    de = dkv @ np.concatenate([w["k"], w["v"]], axis=1).T
-    de[:, CONTEXT:] += dboth[..., :DIM] + dq @ w["q"].T
-    return g, flat(de)
-
-
-def spread(at: np.ndarray, de: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows ``de`` by their numbers ``at``, -1: none."""
-    at, out = np.where(at < 0, n, at).ravel(), np.empty((n, de.shape[1]))
-    for j in range(de.shape[1]):
-        out[:, j] = np.bincount(at, de[:, j], n + 1)[:-1]
-    return out
+    each = np.empty((n, SPAN + CONTEXT, 3 * DIM), dz.dtype)
+    np.matmul(ds.transpose(0, 2, 1), q, out=each[..., :DIM])
+    np.matmul(s.transpose(0, 2, 1), dmixed[..., :-1], out=each[..., DIM : 2 * DIM])
+    np.matmul(ds, kv[..., :DIM], out=each[:, CONTEXT:, 2 * DIM :])
+    each[:, CONTEXT:, 2 * DIM :] *= dz.dtype.type(DIM**-0.5)
+    return {"a": layer[:-1], "a0": layer[-1], "place": ds.sum(axis=0)}, each, dboth[..., :DIM]
+
+
+def below_attention(w: dict, e: np.ndarray, each: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Gradients of the maps to keys, values and queries, and of the rows ``e`` that they take, from those of their
+    results side by side; ``each`` may end before the queries."""
+    flat = each.reshape(-1, each.shape[-1])
+    names = ("k", "v", "q")[: flat.shape[1] // DIM]
+    g = np.split(summed(e.reshape(-1, DIM), flat), len(names), axis=1)
+    return dict(zip(names, g)), times(flat, np.concatenate([w[k].T for k in names]))
+
+
+def spread(rows: np.ndarray, at: np.ndarray, de: np.ndarray) -> None:
+    """Add the rows ``de`` to those of ``rows`` that have the numbers ``at``; the last one is for -1."""
+    flat = at.astype("i8").reshape(-1, 1) * DIM + np.arange(DIM)
+    np.add.at(rows.reshape(-1), flat.ravel(), de.ravel().astype("f8"))
 
 
 def to_slots(rows: np.ndarray, slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The gradients of E and of the end from those of words with these slots."""
-    each = [np.bincount(slots, np.repeat(rows[:, j] / np.maximum(n, 1), n), SPELT + 1) for j in range(DIM)]  # a column at a time
+    slots, share = slots.astype("i8"), 1 / np.maximum(n, 1)
+    each = [np.bincount(slots, np.repeat(rows[:, j] * share, n), SPELT + 1) for j in range(DIM)]  # a column at a time
     return np.stack(each, axis=1), rows[n == 0].sum(axis=0)
 
 
 def odds(w: dict, z: np.ndarray) -> np.ndarray:
     """What the classes' probabilities are proportional to, without overflow."""
-    p = z @ np.concatenate([w["b"], w["out0"][None]])
+    p = times(z, np.concatenate([w["b"], w["out0"][None]]))
     top = np.float32(max(0.0, float(p.max(initial=0)) - 60))
     if top:
         p -= p.max(axis=1, keepdims=True)
@@ -352,7 +396,7 @@ def class_log_probabilities(w: dict, e: np.ndarray, cls: np.ndarray, win: Window
     for i in range(0, len(win.x), chunk):
         z, _ = forward(w, e, win.x[i : i + chunk], known)
         p = odds(w, z)
-        picked = p[np.arange(len(p)), cls[win.y[i : i + chunk].ravel()]] / (p @ ones)
+        picked = p.ravel().take(np.arange(0, p.size, CLASSES) + cls[win.y[i : i + chunk].ravel()]) / (p @ ones)
         out[i : i + chunk] = np.log(np.maximum(picked, np.float32(1e-38))).reshape(-1, SPAN)
     return out.ravel()[win.place]
 
@@ -360,36 +404,42 @@ def class_log_probabilities(w: dict, e: np.ndarray, cls: np.ndarray, win: Window
 def output_sums(w: dict, e: np.ndarray, cls: np.ndarray, win: Windows, chunk: int = 64, below: dict | None = None) -> np.ndarray:
     """Over all tokens: gradient of the output layer (a row more for its bias), moments of hidden states, expected and
     real counts of classes; as one flat array of sums. ``below`` gets the gradients of all other weights added, those of
-    the rows of ``e`` (without its last) as "rows", and the loss in nats."""
-    known, ones = inputs(w, e), np.ones(CLASSES, e.dtype)
-    grad, moments, expected = np.zeros((HIDDEN + 1, CLASSES)), np.zeros((HIDDEN + 1, HIDDEN + 1)), np.zeros(CLASSES)
-    wait: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(0, len(win.x), chunk):
+    the rows of ``e`` as "rows", and the loss in nats."""
+    known, ones, back = inputs(w, e), np.ones(CLASSES, e.dtype), np.ascontiguousarray(w["b"].T)
+    grad, moments = np.zeros((HIDDEN + 1, CLASSES)), np.zeros((HIDDEN + 1, HIDDEN + 1))
+    later = np.zeros((CONTEXT, 2 * DIM), e.dtype)  # from the window behind, as windows go from the last to the first
+    for i in reversed(range(0, len(win.x), chunk)):
         x = win.x[i : i + chunk]
         z, cache = forward(w, e, x, known)
         p = odds(w, z)
-        p *= (1 / (p @ ones))[:, None]
         t = win.y[i : i + chunk].ravel()
-        live = z
+        total = p @ ones
+        share = 1 / total
         if none := np.flatnonzero(t < 0).tolist():
-            live = z.copy()
-            live[none], p[none] = 0, 0
-        expected += live[:, -1] @ p
-        at = np.flatnonzero(t >= 0)
-        real = cls[t[at]]
+            z[none], share[none] = 0, 0
+        at = np.arange(0, p.size, CLASSES) + cls[t]
+        real = p.ravel().take(at)
         if below is not None:
-            below["loss"] -= np.log(np.maximum(p[at, real], np.float32(1e-38))).sum(dtype="f8")
-        p[at, real] -= 1
-        grad += live.T @ p
-        moments += live.T @ live
+            below["loss"] -= np.log(np.maximum(real * share, np.float32(1e-38)))[t >= 0].sum(dtype="f8")
+        p.ravel()[at] = real - total  # a token's gradients of logits are its row of p times its share
+        share = share[:, None]
+        grad += summed(z * share, p)
+        moments += z.T @ z
         if below is not None:
-            g, de = backward(w, e, x, z, cache, p)
-            for k, v in g.items():
+            dz = times(p, back)
+            dz *= share
+            dz *= z[:, :-1] > 0
+            g, each, own = backward(w, cache, dz)
+            # a window's context is the end of the window before; a first one's gradients there are zero
+            each[:-1, SPAN:, : 2 * DIM] += each[1:, :CONTEXT, : 2 * DIM]
+            each[-1, SPAN:, : 2 * DIM] += later
+            later = each[0, :CONTEXT, : 2 * DIM].copy()
+            maps, de = below_attention(w, cache[-1][..., :DIM], each[:, CONTEXT:])
+            de += own.reshape(-1, DIM)
+            for k, v in (g | maps).items():
                 below[k] += v
-            wait.append((x.ravel(), de))
-            if len(wait) * chunk >= 2048 or i + chunk >= len(win.x):
-                below["rows"] += spread(np.concatenate([a for a, _ in wait]), np.concatenate([d for _, d in wait]), len(e) - 1)
-                wait = []
+            spread(below["rows"], x[:, CONTEXT:], de)
+    expected = grad[-1] + np.bincount(cls[win.token], minlength=CLASSES)
     return np.concatenate([grad.ravel(), moments.ravel(), expected])
 
 
@@ -470,9 +520,14 @@ def gradient(w: dict, b: Sample, pick: np.ndarray, table: np.ndarray | None = No
     p /= total
     p[rows, c] -= 1
     p *= (live / m).astype(p.dtype)[:, None]
-    g, de = backward(w, table, x, z, cache, p)
-    g |= {"b": z[:, :-1].T @ p, "out0": p.sum(axis=0)}
-    g["E"], g["end"] = to_slots(spread(x, de, len(b.n_slots)), b.slots, b.n_slots)
+    g, each, own = backward(w, cache, (p @ w["b"].T) * (z[:, :-1] > 0))
+    context, before = below_attention(w, table.take(x[:, :CONTEXT], axis=0), each[:, :CONTEXT, : 2 * DIM])
+    maps, de = below_attention(w, cache[-1][..., :DIM], each[:, CONTEXT:])
+    g |= {"b": z[:, :-1].T @ p, "out0": p.sum(axis=0)} | {k: v + context.get(k, 0) for k, v in maps.items()}
+    rows = np.zeros(table.shape)
+    spread(rows, x[:, CONTEXT:], de + own.reshape(-1, DIM))
+    spread(rows, x[:, :CONTEXT], before)
+    g["E"], g["end"] = to_slots(rows[:-1], b.slots, b.n_slots)
     return loss / m, g
 
 
@@ -695,9 +750,9 @@ def _round(texts: DataFrame, lex: Lexicon, w: dict) -> tuple[np.ndarray, dict]:
             token, distinct = with_ends(words, size)
             row = own.rows(distinct)
             e = np.concatenate([own.e[row], np.zeros((1, DIM), "f4")])
-            below["rows"] = np.zeros((len(row), DIM))
+            below["rows"] = np.zeros(e.shape)
             total += output_sums(w, e, np.append(own.cls[row], 0), Windows(token, size + 1), below=below)
-            E, end = to_slots(below.pop("rows"), *unlisted(own.slots.take(pa.array(row))))
+            E, end = to_slots(below.pop("rows")[:-1], *unlisted(own.slots.take(pa.array(row))))
             below["E"] += E
             below["end"] += end
         flat = np.concatenate([total, *[below[k].ravel() for k in BELOW]])
