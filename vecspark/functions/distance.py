@@ -57,9 +57,15 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda v: v)).cast("double")
 
 
+def name(space: str) -> str:
+    """The plain name of a space; l2 for unknown ones."""
+    plain = str(getattr(space, "value", space))
+    return plain if plain in ("ip", "cos", "hamming") else "l2"
+
+
 def distance(space: str, a: Column, b: Column) -> Column:
     """The distance of a space; squared L2 for unknown ones."""
-    return {"ip": ip, "cos": cos, "hamming": hamming}.get(str(getattr(space, "value", space)), l2)(a, b)
+    return {"l2": l2, "ip": ip, "cos": cos, "hamming": hamming}[name(space)](a, b)
 
 
 def np_distance(space: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DocumentNotFound, InvalidDimension, InvalidParameter
-from ..functions.distance import distance, np_distance
+from ..functions.distance import distance, name
 from ..functions.filters import matches
+from . import scan
 
 #: Bytes of query vectors that are broadcast; beyond, the corpus is joined without a broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -55,56 +56,74 @@ def nearest(corpus: DataFrame, vector: list[float], k: int, space: str = "l2") -
     return corpus.select("id", distance(space, q, F.col("vector")).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", filter: dict | Column | None = None, bulk: bool = False) -> DataFrame:
-    """``query_id, rank, id, distance``. A filter applies before the search (exact). ``bulk`` scores by matrix products."""
-    _check(k)
-    if filter is not None:
-        corpus = corpus.where(matches(filter) if isinstance(filter, dict) else filter)
-    if bulk and small(queries, "qvec", 16 << 20):
-        return _bulk(queries, corpus, k, space)
-    return ranked(pairs(queries, corpus, space), k)
-
+def candidates(queries: DataFrame, corpus: DataFrame, task: scan.Task, id_col: str = "id", nprobe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``query_id, id, distance`` of at least all pairs that belong to the answer of ``task``, not ranked.
 
-def _bulk(queries: DataFrame, corpus: DataFrame, k: int, space: str, slack: int = 8) -> DataFrame:
-    """Matrix products choose k + slack candidates a batch and query, whose distances are then folded as elsewhere.
-
-    A batch also returns all that lie within rounding of its last candidate, so that no tie is lost to it.
+    Blocks of rows meet tiles of queries in :mod:`scan`; the few rows and queries that cannot take part there (nulls, other
+    lengths, components that are not finite) are folded as columns. ``nprobe`` names the lists (queries to query_id, qvec,
+    cid) that a query looks at; corpus has a cid then.
     """
-    q = queries.select("query_id", "qvec").toPandas()
-    ids, qm = q["query_id"].to_numpy(), np.stack(q["qvec"].to_numpy()).astype("f8") if len(q) else np.zeros((0, 1))
-    id_type = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}["id"]
+    found, dim, odd = scan.parts(queries, ["query_id", "qvec"])
     q_type = queries.schema["query_id"].dataType.simpleString()
+    extra = "cid" if nprobe else None
+
+    def folded(q: DataFrame, c: DataFrame) -> DataFrame:
+        if nprobe:
+            asked = nprobe(q)
+            asked = F.broadcast(asked) if small(q, "qvec") else asked
+            hits = c.select("cid", "id", "vector").join(asked, "cid").select("query_id", "id", distance(task.space, F.col("qvec"), F.col("vector")).alias("distance"))
+        else:
+            hits = pairs(q, c.select(F.lit(None).alias("id") if id_col != "id" else "id", "vector", *[id_col] * (id_col != "id")), task.space, (id_col,) if id_col != "id" else ())
+            hits = hits.select("query_id", id_col, "distance")
+        return hits if task.cap == float("inf") else hits.where(F.col("distance") <= task.cap)
+
+    out = []
+    for rows, at, q in found:
+        if not len(at):
+            continue
+        ids, own = scan.whole(rows.column("query_id")).take(pa.array(at)), None
+        if nprobe:
+            keyed = queries.sparkSession.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(q)], "query_id int, qvec array<double>")
+            own = [[] for _ in at]
+            for r in nprobe(keyed).select("query_id", "cid").collect():
+                own[r["query_id"]].append(r["cid"])
+        out.append(scan.search(scan.Asked(ids, q, own), corpus, task, id_col, q_type, dim, extra))
+    if out:
+        usual = scan.dense("vector", dim) & F.col(id_col).isNotNull()
+        hits = folded(queries.where(scan.dense("qvec", dim)), corpus.where(~usual))
+        if task.distinct:  # no distance counts only where an id has no other, and the scan keeps k ids of those that have
+            known = corpus.where(usual).select(id_col).distinct()
+            hits = hits.where("distance is not null").union(hits.where("distance is null").join(known, id_col, "left_anti").select(hits.columns))
+        out.append(hits)
+    if odd is not None:
+        out.append(folded(odd, corpus))
+    return functools.reduce(DataFrame.union, out) if out else folded(queries, corpus)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.stack(pdf["vector"].to_numpy())
-            d = np_distance(space, qm, x)
-            n = min(k + slack, len(pdf))
-            cut = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-            i, j = np.nonzero(d <= cut + 1e-9 * (1 + np.abs(cut)))
-            yield pd.DataFrame({"query_id": ids[i], "id": pdf["id"].to_numpy()[j], "qvec": list(qm[i]), "vector": list(x[j])})
 
-    found = corpus.select("id", "vector").mapInPandas(run, f"query_id {q_type}, id {id_type}, qvec array<double>, vector array<float>")
-    return ranked(found.select("query_id", "id", distance(space, F.col("qvec"), F.col("vector")).alias("distance")), k)
+def knn(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", filter: dict | Column | None = None, bulk: bool = False) -> DataFrame:
+    """``query_id, rank, id, distance``. A filter applies before the search (exact). ``bulk`` is of no effect any more:
+    every search scores by matrix products."""
+    _check(k)
+    if filter is not None:
+        corpus = corpus.where(matches(filter) if isinstance(filter, dict) else filter)
+    return ranked(candidates(queries, corpus, scan.Task(name(space), k)), k)
 
 
 def knn_postfilter(queries: DataFrame, corpus: DataFrame, k: int, space: str, condition: Column, overfetch: int = 2) -> DataFrame:
     """Search k * overfetch rows first, then filter: may return fewer than k."""
-    hits = ranked(pairs(queries, corpus, space), k * overfetch)
+    hits = knn(queries, corpus, k * overfetch, space)
     return ranked(hits.drop("rank").join(corpus.where(condition).select("id"), "id", "left_semi"), k)
 
 
 def within(queries: DataFrame, corpus: DataFrame, epsilon: float, space: str = "l2", most: int | None = None) -> DataFrame:
     """All rows at most epsilon away (inclusive), at most ``most`` a query if given."""
-    hits = pairs(queries, corpus, space).where(F.col("distance") <= epsilon)
+    hits = candidates(queries, corpus, scan.Task(name(space), most or 0, float(epsilon)))
     return ranked(hits, most if most is not None else (1 << 31) - 1)
 
 
 def knn_documents(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", doc_col: str = "doc") -> DataFrame:
     """The k nearest distinct documents, each as near as its nearest vector."""
-    best = pairs(queries, corpus, space, (doc_col,)).groupBy("query_id", doc_col).agg(F.min("distance").alias("distance"))
+    best = candidates(queries, corpus, scan.Task(name(space), k, distinct=True), doc_col).groupBy("query_id", doc_col).agg(F.min("distance").alias("distance"))
     return ranked(best, k, doc_col)
 
 
