@@ -8,7 +8,7 @@ from vecspark import queries as core
 from vecspark.operators import scan, topk
 
 #: Queries whose pairs meet in blocks and not as rows of a join.
-BLOCKED = ["knn_cos", "knn_postfilter_overfetch"]
+BLOCKED = ["knn_cos", "knn_postfilter_overfetch", "search_documents_hydrated"]
 
 
 def rows(df):
