@@ -8,7 +8,7 @@ from vecspark import queries as core
 from vecspark.operators import scan, topk
 
 #: Queries whose pairs meet in blocks and not as rows of a join.
-BLOCKED = ["knn_cos", "knn_postfilter_overfetch", "search_documents_hydrated", "knn_l2", "search_vectors_projection", "hnsw_exact_contract", "engine_delete_compact_search", "engine_flat_search", "knn_ip", "knn_distinct_doc", "range_search_l2", "knn_hamming"]
+BLOCKED = ["knn_cos", "knn_postfilter_overfetch", "search_documents_hydrated", "knn_l2", "search_vectors_projection", "hnsw_exact_contract", "engine_delete_compact_search", "engine_flat_search", "knn_ip", "knn_distinct_doc", "range_search_l2", "knn_hamming", "lsh_search"]
 
 
 def rows(df):
@@ -57,3 +57,43 @@ def test_odd_queries_are_folded(odd):
     q, df = odd
     for space in ("l2", "cos"):
         assert rows(topk.candidates(q, df, scan.Task(space))) == rows(topk.pairs(q, df, space).select("query_id", "id", "distance"))
+
+
+def test_lsh_equals_the_join_on_buckets(odd):
+    """No two rows are joined on a bucket any more; the results are those of the library's join."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from vecspark.operators.index import lsh
+
+    whole = "size(vector) = 5 and forall(vector, x -> x is not null) and id is not null"
+    q, df = odd[0].where(whole.replace("vector", "qvec").replace("id is", "query_id is")).persist(), odd[1].where(whole).persist()
+    side = lambda d, i, v: d.select(F.col(i).alias("key"), array_to_vector(F.col(v).cast("array<double>")).alias("features"))
+    c, asked = side(df, "id", "vector"), side(q, "query_id", "qvec")
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=8, seed=7).fit(c)
+    hits = model.approxSimilarityJoin(asked, c, 1.5, "d").select(F.col("datasetA.key").alias("query_id"), F.col("datasetB.key").alias("id"), (F.col("d") * F.col("d")).alias("distance"))
+    found = lsh.search(q, df, 6, radius=1.5)
+    assert "MapInArrow" in plan(found) and "SortMergeJoin" not in plan(found) and "ShuffledHashJoin" not in plan(found).replace("Union", "")
+    assert rows(found) == rows(topk.ranked(hits, 6))
+
+
+def test_statistics_equal_folds(odd):
+    from vecspark.functions import distance as dist
+
+    q, df = odd[0].where("size(qvec) = 5 and not exists(qvec, x -> isnan(x) or abs(x) > 1e30) or qvec is null"), odd[1].where("not exists(vector, x -> isnan(x) or abs(x) > 1e30)")
+    spaces = ["l2", "ip", "cos", "hamming"]
+    fold = lambda q, c: c.crossJoin(q).select("doc", F.explode(F.create_map(*[e for s in spaces for e in (F.lit(s), dist.distance(s, F.col("qvec"), F.col("vector")))])).alias("space", "distance"))
+    want = {(r["doc"], r["space"]): r for r in fold(q, df).groupBy("doc", "space").agg(F.min("distance").alias("least"), F.max("distance").alias("most"), F.avg("distance").alias("mean")).collect()}
+    got = scan.statistics(q, df, "doc", spaces, fold).groupBy("doc", "space").agg(F.min("least").alias("least"), F.max("most").alias("most"), (F.sum("total") / F.sum("n")).alias("mean")).collect()
+    assert len(got) == len(want) == 7 * 4
+    for r in got:
+        w = want[r["doc"], r["space"]]
+        assert (r["least"], r["most"]) == (w["least"], w["most"]) and r["mean"] == pytest.approx(w["mean"], rel=1e-9, abs=1e-9)
+
+
+def test_every_pair_with_an_offset(odd):
+    from vecspark.functions import distance as dist
+
+    q, df = odd
+    fold = lambda q, c: c.crossJoin(q).select("query_id", "id", dist.ip_hnsw(F.col("qvec"), F.col("vector")).alias("distance"))
+    assert rows(scan.every(q, df, 1.0, fold)) == rows(fold(q, df))

@@ -13,7 +13,7 @@ from .evaluate import recall
 from .functions import distance as dist
 from .functions.filters import matches
 from .functions.scalar import cache_key, doc_key, residual
-from .operators import kmeans, topk
+from .operators import kmeans, scan, topk
 from .operators.index import hnsw, ivf, ivfpq, lsh
 from .plans.embedding import HashingProvider, embed
 from .plans.store import last_write, live
@@ -96,15 +96,22 @@ def knn_distinct_doc(spark: SparkSession, d: str) -> DataFrame:
     FROM q CROSS JOIN c GROUP BY label""",
 )
 def distance_stats(spark: SparkSession, d: str) -> DataFrame:
-    both = corpus(spark, d).crossJoin(F.broadcast(asked(spark, d)))
-    each = both.select("label", *[dist.distance(s, F.col("qvec"), F.col("vector")).alias(s) for s in SQL_DISTANCE])
-    return each.groupBy("label").agg(*[e for s in SQL_DISTANCE for e in (F.min(s).alias(f"min_{s}"), F.max(s).alias(f"max_{s}"), F.round(F.avg(s), 9).alias(f"avg_{s}"))])
+    def folded(q: DataFrame, c: DataFrame) -> DataFrame:
+        both = c.crossJoin(F.broadcast(q)).select("label", F.explode(F.create_map(*[e for s in SQL_DISTANCE for e in (F.lit(s), dist.distance(s, F.col("qvec"), F.col("vector")))])))
+        return both.select("label", F.col("key").alias("space"), F.col("value").alias("distance"))
+
+    each = scan.statistics(asked(spark, d), corpus(spark, d), "label", list(SQL_DISTANCE), folded)
+    of = lambda f, column, s: f(F.when(F.col("space") == s, F.col(column)))
+    mean = lambda s: F.round(F.try_divide(of(F.sum, "total", s), of(F.sum, "n", s)), 9)
+    return each.groupBy("label").agg(*[e for s in SQL_DISTANCE for e in (of(F.min, "least", s).alias(f"min_{s}"), of(F.max, "most", s).alias(f"max_{s}"), mean(s).alias(f"avg_{s}"))])
 
 
 @query("ip_hnsw_offset", f"""WITH {Q_SQL}, {C_SQL} SELECT query_id, id, 1.0 - list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])) AS distance FROM q CROSS JOIN c""")
 def ip_hnsw_offset(spark: SparkSession, d: str) -> DataFrame:
-    both = corpus(spark, d).crossJoin(F.broadcast(asked(spark, d)))
-    return both.select("query_id", "id", dist.ip_hnsw(F.col("qvec"), F.col("vector")).alias("distance"))
+    def folded(q: DataFrame, c: DataFrame) -> DataFrame:
+        return c.crossJoin(F.broadcast(q)).select("query_id", "id", dist.ip_hnsw(F.col("qvec"), F.col("vector")).alias("distance"))
+
+    return scan.every(asked(spark, d), corpus(spark, d), 1.0, folded)
 
 
 @query("search_vectors_projection", f"SELECT query_id, id, distance FROM ({top_sql()})")
