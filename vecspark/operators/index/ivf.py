@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.distance import distance
-from ...operators import kmeans
-from ...operators.topk import ranked, small
+from ...functions.distance import distance, name
+from ...operators import kmeans, scan
+from ...operators.topk import candidates, ranked
 
 
 def centroid_frame(like: DataFrame, centroids: list[list[float]]) -> DataFrame:
@@ -24,15 +24,10 @@ def probes(queries: DataFrame, centroids: list[list[float]], nprobe: int, space:
 
 
 def search(queries: DataFrame, lists: DataFrame, centroids: list[list[float]], nprobe: int, k: int, space: str = "l2") -> DataFrame:
-    """Exact distances within the probed lists of ``lists(cid, id, vector)``.
-
-    A small query side is broadcast into an equi-join on cid, so that lists stored by cid are pruned at run time; a
-    large one is shuffled with the lists, and adaptive execution splits a large list.
-    """
-    asked = probes(queries, centroids, nprobe, space)
-    asked = F.broadcast(asked) if small(queries, "qvec") else asked
-    hits = lists.select("cid", "id", "vector").join(asked, "cid")
-    return ranked(hits.select("query_id", "id", distance(space, F.col("qvec"), F.col("vector")).alias("distance")), k)
+    """Exact distances within the probed lists of ``lists(cid, id, vector)``, of which rows meet the queries that probe
+    their list, in blocks."""
+    task = scan.Task(name(space), k)
+    return ranked(candidates(queries, lists, task, lists=(centroids, nprobe, lambda q: probes(q, centroids, nprobe, space))), k)
 
 
 def build(docs: DataFrame, nlist: int, space: str = "l2", max_iter: int = 40, sample: int | None = None) -> tuple[list[list[float]], DataFrame]:

@@ -56,20 +56,20 @@ def nearest(corpus: DataFrame, vector: list[float], k: int, space: str = "l2") -
     return corpus.select("id", distance(space, q, F.col("vector")).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def candidates(queries: DataFrame, corpus: DataFrame, task: scan.Task, id_col: str = "id", nprobe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def candidates(queries: DataFrame, corpus: DataFrame, task: scan.Task, id_col: str = "id", lists: tuple[list, int, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """``query_id, id, distance`` of at least all pairs that belong to the answer of ``task``, not ranked.
 
     Blocks of rows meet tiles of queries in :mod:`scan`; the few rows and queries that cannot take part there (nulls, other
-    lengths, components that are not finite) are folded as columns. ``nprobe`` names the lists (queries to query_id, qvec,
-    cid) that a query looks at; corpus has a cid then.
+    lengths, components that are not finite) are folded as columns. With ``lists`` (centroids, how many a query
+    looks at, and a function of queries that gives query_id, qvec, cid) corpus has a cid, and rows of these lists count.
     """
     found, dim, odd = scan.parts(queries, ["query_id", "qvec"])
     q_type = queries.schema["query_id"].dataType.simpleString()
-    extra = "cid" if nprobe else None
+    extra = "cid" if lists else None
 
     def folded(q: DataFrame, c: DataFrame) -> DataFrame:
-        if nprobe:
-            asked = nprobe(q)
+        if lists:
+            asked = lists[2](q)
             asked = F.broadcast(asked) if small(q, "qvec") else asked
             hits = c.select("cid", "id", "vector").join(asked, "cid").select("query_id", "id", distance(task.space, F.col("qvec"), F.col("vector")).alias("distance"))
         else:
@@ -82,14 +82,11 @@ def candidates(queries: DataFrame, corpus: DataFrame, task: scan.Task, id_col: s
         if not len(at):
             continue
         ids, own = scan.whole(rows.column("query_id")).take(pa.array(at)), None
-        if nprobe:
-            keyed = queries.sparkSession.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(q)], "query_id int, qvec array<double>")
-            own = [[] for _ in at]
-            for r in nprobe(keyed).select("query_id", "cid").collect():
-                own[r["query_id"]].append(r["cid"])
+        if lists:
+            own = scan.nearest(q, lists[0], lists[1], task.space).tolist()
         out.append(scan.search(scan.Asked(ids, q, own), corpus, task, id_col, q_type, dim, extra))
     if out:
-        usual = scan.dense("vector", dim) & F.col(id_col).isNotNull()
+        usual = scan.dense("vector", dim) & F.col(id_col).isNotNull() & (F.col("cid").isNotNull() if lists else F.lit(True))
         hits = folded(queries.where(scan.dense("qvec", dim)), corpus.where(~usual))
         if task.distinct:  # no distance counts only where an id has no other, and the scan keeps k ids of those that have
             known = corpus.where(usual).select(id_col).distinct()
