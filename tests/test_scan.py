@@ -8,7 +8,7 @@ from vecspark import queries as core
 from vecspark.operators import scan, topk
 
 #: Queries whose pairs meet in blocks and not as rows of a join.
-BLOCKED = ["knn_cos", "knn_postfilter_overfetch", "search_documents_hydrated", "knn_l2", "search_vectors_projection", "hnsw_exact_contract", "engine_delete_compact_search", "engine_flat_search", "knn_ip", "knn_distinct_doc", "range_search_l2", "knn_hamming", "lsh_search", "distance_stats", "ip_hnsw_offset", "recall_at_10_ivf", "ivf_trained_search", "ivf_full_probe_equals_flat", "ivfpq_trained_search"]
+BLOCKED = ["knn_cos", "knn_postfilter_overfetch", "search_documents_hydrated", "knn_l2", "search_vectors_projection", "hnsw_exact_contract", "engine_delete_compact_search", "engine_flat_search", "knn_ip", "knn_distinct_doc", "range_search_l2", "knn_hamming", "lsh_search", "distance_stats", "ip_hnsw_offset", "recall_at_10_ivf", "ivf_trained_search", "ivf_full_probe_equals_flat", "ivfpq_trained_search", "ivfpq_rerank_search"]
 
 
 def rows(df):
